@@ -158,18 +158,22 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, once.alias("_once")).select(*kept, "_once.*")
 
 
+def reference_slices(window: BinWindow, i: str = "i", vals: str = "vals") -> str:
+    """SQL of the values bin `i` is compared with, nulls included: the reference rule as array slices."""
+    pd = window.per_day
+    hour = f"({i} % {pd})"
+    earlier = (f"slice({vals}, d * {pd} + greatest({hour} - 2, 0) + 1, "
+               f"least({hour} + 2, {pd - 1}) - greatest({hour} - 2, 0) + 1)")
+    today = f"slice({vals}, d * {pd} + greatest({hour} - 3, 0) + 1, greatest(0, {hour} - 1 - greatest({hour} - 3, 0)))"
+    return (f"flatten(transform(sequence(0, cast({i} div {pd} AS int)), d -> CASE WHEN d < {i} div {pd} THEN {earlier} ELSE {today} END))")
+
+
 def reference_arrays(series: DataFrame, window: BinWindow) -> DataFrame:
     """Adds `refs`: per bin the sorted non-null values of the earlier bins it is compared with.
 
     Same hour +/-2 on every earlier day and 2-3 hours earlier the same day, never across a day edge and never later.
     """
-    pd, n = window.per_day, window.n
-    hour = f"(i % {pd})"
-    earlier = (f"slice(vals, d * {pd} + greatest({hour} - 2, 0) + 1, "
-               f"least({hour} + 2, {pd - 1}) - greatest({hour} - 2, 0) + 1)")
-    today = f"slice(vals, d * {pd} + greatest({hour} - 3, 0) + 1, greatest(0, {hour} - 1 - greatest({hour} - 3, 0)))"
-    refs = f"""transform(sequence(0, {n - 1}), i -> sort_array(filter(flatten(transform(
-        sequence(0, cast(i div {pd} AS int)), d -> CASE WHEN d < i div {pd} THEN {earlier} ELSE {today} END)), v -> v IS NOT NULL)))"""
+    refs = f"transform(sequence(0, {window.n - 1}), i -> sort_array(filter({reference_slices(window)}, v -> v IS NOT NULL)))"
     return staged(series, refs=F.expr(refs))
 
 
@@ -211,7 +215,7 @@ def robust_scores(series: DataFrame, window: BinWindow, keys: tuple[str, ...] =
         F.when(known, round_to(F.col("raw_value"), 3)).otherwise(F.coalesce("raw_value", F.lit(0.0))).alias("value"),
         F.when(known, round_to(F.col("med"), 3)).otherwise(F.lit(0.0)).alias("median"),
         F.when(known, round_to(F.col("raw_scale"), 3)).otherwise(F.lit(0.0)).alias("scale"),
-        F.when(known, round_to(F.col("raw_z"), 2)).alias("z"), "state", "reference_n", "coverage")
+        F.when(known, round_to(F.col("raw_z"), 2)).alias("z"), "state", "reference_n", "coverage", "raw_value")
 
 
 def is_departed() -> Column:
