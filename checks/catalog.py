@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import baseline, evidence, joins, scalars  # noqa: F401
+from checks import baseline, evidence, incidents, joins, scalars  # noqa: F401
