@@ -10,6 +10,7 @@ from checks.views import T0, T1
 from geoweave.functions.geo import round_to
 from geoweave.operators import baseline as bl
 from geoweave.operators import navint
+from geoweave.session import cut_lineage
 
 WINDOW = bl.BinWindow(T0, T1)
 AT = T0 + 200 * 3600 + 10
@@ -30,7 +31,9 @@ def counts_of(v):
 
 
 def scores_of(v, span=None):
-    return bl.robust_scores(bl.dense_series(counts_of(v), WINDOW, span), WINDOW)
+    def build():
+        return cut_lineage(bl.robust_scores(bl.dense_series(counts_of(v), WINDOW, span), WINDOW))
+    return v.shared(f"scores {span}", build)
 
 
 KEYS = f"""marks as (select id, t, lat, lon, url, is_conflict, false as social from v_news union all select id, t, lat, lon, url, false, true from v_posts),

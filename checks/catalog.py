@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import baseline, evidence, feeds, incidents, joins, overview, scalars  # noqa: F401
+from checks import baseline, evidence, feeds, incidents, joins, overview, scalars, streams  # noqa: F401

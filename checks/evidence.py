@@ -12,6 +12,7 @@ from geoweave.functions.geo import round_to
 from geoweave.functions.text import normalize_text
 from geoweave.operators import candidates as cand
 from geoweave.operators import graph, joins, proximity, verdicts
+from geoweave.session import cut_lineage
 
 VIEWS = "v_news v_points v_vessels v_firms"
 
@@ -22,7 +23,11 @@ def records_of(v):
 
 
 def candidates_of(v):
-    return cand.candidate_pairs(cand.retrieval_table(records_of(v)))
+    return v.shared("pairs", lambda: cut_lineage(cand.candidate_pairs(cand.retrieval_table(records_of(v)))))
+
+
+def best_of(v):
+    return cand.best_candidates(candidates_of(v))
 
 
 @query("u01_evidence_records", VIEWS, """select id, 'gdelt' as kind, concat(root_code, ': ', place) as label, t, 'gdelt_date_added_not_incident_time' as timestamp_kind from v_news
@@ -76,7 +81,7 @@ def _(v):
 
 @query("a16_best_candidates", VIEWS, f"with {FACTS}, {BEST} select coverage_key, score, tier as match_type from best order by score desc, coverage_key limit 250")
 def _(v):
-    return cand.generate_candidates(records_of(v)).select("coverage_key", "score", "match_type")
+    return best_of(v).select("coverage_key", "score", "match_type")
 
 
 _HOT = "hot(row, col) as (values (25, 55), (26, 56))"
@@ -91,7 +96,7 @@ def _(v):
 
 def _flagged(v):
     dense = v.spark.sql("select * from values (25, 55), (26, 56) as t(row, col)")
-    return cand.with_hot_flag(cand.generate_candidates(records_of(v)), dense)
+    return cand.with_hot_flag(best_of(v), dense)
 
 
 @query("w08_review_batch", VIEWS)
@@ -119,7 +124,7 @@ def _(v):
 
 @query("e01_prompt_payload", VIEWS)
 def _(v):
-    return verdicts.prompt_payload(cand.generate_candidates(records_of(v), 50), records_of(v))
+    return verdicts.prompt_payload(cand.best_candidates(candidates_of(v), 50), records_of(v))
 
 
 # ---- verdicts ------------------------------------------------------------------------------------

@@ -8,9 +8,7 @@ from checks.baseline import COUNTS, DEPARTED, GRID, KEYS, REFS, STATS, VIEWS, WI
 from checks.registry import query
 from checks.text import cell, rnd
 from checks.views import T0
-from geoweave.operators import baseline as bl
 from geoweave.operators import incidents as inc
-from geoweave.operators.components import cell_components
 from geoweave.plans.analysis import Analysis
 
 
@@ -23,12 +21,11 @@ def events_of(v):
 
 
 def analysis_of(v) -> Analysis:
-    return Analysis(WINDOW, events_of(v), v.points, v.firms)
+    return v.shared("analysis", lambda: Analysis(WINDOW, events_of(v), v.points, v.firms))
 
 
 def components_of(v):
-    scores = bl.robust_scores(bl.dense_series(bl.stream_counts(bl.stream_keys(WINDOW, events_of(v), v.points, v.firms)), WINDOW), WINDOW)
-    return cell_components(bl.departed_cells(scores))
+    return analysis_of(v).components
 
 
 _AROUND = "(values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc)"

@@ -85,6 +85,9 @@ def oracle(views: str, body: str) -> str:
     return f"with recursive {ctes}\n{body}"
 
 
+_SHARED: dict[tuple, object] = {}
+
+
 class Tables:
     """The given tables and the surrogate views as DataFrames."""
 
@@ -94,6 +97,17 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def shared(self, name: str, build):
+        """A derived table that many queries read: built once per session and folder, then reused."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _SHARED:
+            _SHARED[key] = build()
+        return _SHARED[key]
+
+    @staticmethod
+    def forget() -> None:
+        _SHARED.clear()
+
     def _view(self, name: str, source: DataFrame, source_name: str) -> DataFrame:
         text = _dialect(_VIEWS[name], _SPARK).replace(f"from {source_name}", "from {src}")
         return self.spark.sql(text, src=source)

@@ -92,18 +92,21 @@ def record_features(records: DataFrame) -> DataFrame:
     compact = F.transform(
         F.regexp_extract_all(F.col("_body"), F.lit(r"(?<![A-Za-z0-9])([A-Za-z0-9]{1,3}-[A-Za-z0-9]{2,6})(?![A-Za-z0-9])"), 1),
         lambda v: F.replace(v, F.lit("-"), F.lit("")))
-    df = (df.withColumn("_body", body)
-          .withColumn("_named", normalize_list(named)).withColumn("_actors", normalize_list(actors))
-          .withColumn("_name", normalize_text(F.coalesce("name", F.lit(""))))
-          .withColumn("text_norm", F.concat(F.lit(" "), normalize_text(F.concat_ws(" ", "_body", F.array_join(compact, " "))), F.lit(" ")))
-          .withColumn("tokens", F.array_distinct(F.filter(F.split("text_norm", " "), lambda v: v != ""))))
+    df = df.withColumn("_body", body)
+    # one projection for all normalised fields: their Python part then runs as one Arrow exchange
+    df = df.withColumns({"_text": F.concat_ws(" ", "_body", F.array_join(compact, " ")), "_raw_named": named, "_raw_actors": actors,
+                         "_raw_name": F.coalesce("name", F.lit(""))})
+    df = df.withColumns({"_named": normalize_list(F.col("_raw_named")), "_actors": normalize_list(F.col("_raw_actors")),
+                         "_name": normalize_text(F.col("_raw_name")), "text_norm": normalize_text(F.col("_text"))})
+    df = df.withColumn("text_norm", F.concat(F.lit(" "), "text_norm", F.lit(" ")))
+    df = df.withColumn("tokens", F.array_distinct(F.filter(F.split("text_norm", " "), lambda v: v != "")))
     entities = F.filter(F.array_distinct("_named"), lambda v: F.length(v) >= 3)
     df = df.withColumn("entities", F.array_except(entities, _literal_array(GENERIC_NAMES + BROAD_ENTITIES)))
     df = df.withColumn("actors", F.array_except(F.array_distinct("_actors"), _literal_array(GENERIC_NAMES)))
     topics = F.filter(F.array(*[F.when(F.arrays_overlap("tokens", _literal_array(terms)), F.lit(name))
                                 for name, terms in TOPIC_TERMS.items()]), lambda v: v.isNotNull())
     df = df.withColumn("topics", topics).withColumn("identities", _identities())
-    return df.drop("_body", "_named", "_actors", "_name")
+    return df.drop("_body", "_named", "_actors", "_name", "_text", "_raw_named", "_raw_actors", "_raw_name")
 
 
 def _identity(phrase: Column, label: Column, kind: str, maritime: Column) -> Column:

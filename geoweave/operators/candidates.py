@@ -184,8 +184,11 @@ def best_per_coverage(pairs: DataFrame) -> DataFrame:
 
 def generate_candidates(records: DataFrame, limit: int = 250, **join_options) -> DataFrame:
     """The best pairs for review, at most `limit` (the size of the review list)."""
-    best = best_per_coverage(candidate_pairs(retrieval_table(records), **join_options))
-    return best.orderBy(F.col("score").desc(), "coverage_key").limit(limit)
+    return best_candidates(candidate_pairs(retrieval_table(records), **join_options), limit)
+
+
+def best_candidates(pairs: DataFrame, limit: int = 250) -> DataFrame:
+    return best_per_coverage(pairs).orderBy(F.col("score").desc(), "coverage_key").limit(limit)
 
 
 def with_hot_flag(candidates: DataFrame, incident_cells: DataFrame) -> DataFrame:
