@@ -119,7 +119,7 @@ def _(v):
     starts = v.raw("benchmark").select(normalize_text(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))).alias("phrase"))
     bodies = v.raw("documents").select(F.col("doc_id").alias("rid"), F.concat(F.lit(" "), normalize_text(F.col("text")), F.lit(" ")).alias("text_norm"))
     bodies = bodies.withColumn("tokens", F.array_distinct(F.filter(F.split("text_norm", " "), lambda w: w != "")))
-    return joins.phrase_hits(bodies, nations.union(starts).distinct())
+    return joins.phrase_hits(cut_lineage(bodies), nations.union(starts).distinct())
 
 
 @query("e01_prompt_payload", VIEWS)

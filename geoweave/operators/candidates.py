@@ -141,7 +141,11 @@ def candidate_pairs(table: DataFrame, **join_options) -> DataFrame:
         return df.select(*keep, *[F.col(c).alias(f"{side}_{c}") for c in _LIGHT])
 
     near = radius_join(half(left, "l"), half(right, "r"), F.col("radius"), F.col("span_min"), on=["rule"], right_id="r_rid", **join_options)
-    near = match_pairs(near.filter(_ordered())).filter(~F.col("match_type").isin("identifier", "name"))
+    # texts include a record's own names, so whatever two reports share is among the mentions of both; the rest of a
+    # same-kind pair can only be bare proximity, which that kind does not admit
+    same_kind = (F.col("l_kind") == F.col("r_kind")) & F.col("l_kind").isin(*NEWS_KINDS)
+    near = near.filter(_ordered() & (~same_kind | F.arrays_overlap("l_mentions", "r_mentions")))
+    near = match_pairs(near).filter(~F.col("match_type").isin("identifier", "name"))
     centroid = ((F.col("l_kind") == "gdelt") & F.col("l_geo_type").isin(*CENTROID_TYPES)) | ((F.col("r_kind") == "gdelt") & F.col("r_geo_type").isin(*CENTROID_TYPES))
     bare = (F.col("match_type") == "proximity") & ((F.col("l_kind") == F.col("r_kind")) | F.coalesce(centroid, F.lit(False)))
     one_article = F.col("l_kind").isin(*NEWS_KINDS) & F.col("r_kind").isin(*NEWS_KINDS) & (F.col("l_source_key") == F.col("r_source_key"))

@@ -37,7 +37,10 @@ def salted_equi_join(probe: DataFrame, build: DataFrame, keys: list[str], condit
                     .withColumn("_salt", F.pmod(spread, F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts"))
     salted_probe = (probe.join(F.broadcast(hot), keys, "left")
                     .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    joined = salted_probe.join(salted_build, [*keys, "_salt"])
+    # a fixed partition count on both sides: rows are cheap to move here but each block costs many exact tests, so small
+    # partitions must not be merged; the join reuses this partitioning
+    tasks = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = salted_probe.repartition(tasks, *keys, "_salt").join(salted_build.repartition(tasks, *keys, "_salt"), [*keys, "_salt"])
     return (joined.filter(condition) if condition is not None else joined).drop("_salt")
 
 
