@@ -173,10 +173,15 @@ def _(v):
 @query("i07_durable_ids", VIEWS)
 def _(v):
     a = analysis_of(v)
-    earlier = inc.incidents_at(a.incidents, WINDOW, T0 + 300 * 3600 + 10)
+    last = _last_instant(a)
+    earlier = inc.incidents_at(a.incidents, WINDOW, last - 3600)
     stored = earlier.select(F.concat(F.lit("durable:"), "incident_id").alias("durable_id"), "cells", "first_t", "last_t")
-    now = inc.incidents_at(a.incidents, WINDOW, T0 + 301 * 3600 + 10)
-    return inc.durable_ids(now, stored, T0 + 301 * 3600.0)
+    return inc.durable_ids(inc.incidents_at(a.incidents, WINDOW, last), stored, last)
+
+
+def _last_instant(a) -> float:
+    """Just after the last bin that has an incident: one number, to ask for that moment."""
+    return WINDOW.t_min + (a.incidents.agg(F.max("bin")).first()[0] + 1) * WINDOW.step + 10
 
 
 @query("i08_assessments", VIEWS)
@@ -198,4 +203,4 @@ def _(v):
 @query("q04_incidents_snapshot", VIEWS)
 def _(v):
     a = analysis_of(v)
-    return a.snapshot(T0 + 301 * 3600 + 10).select("incident_id", "state", "established", "headline", "question")
+    return a.snapshot(_last_instant(a)).select("incident_id", "state", "established", "headline", "question")

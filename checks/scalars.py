@@ -234,7 +234,7 @@ def _(v):
 
 
 @query("f22_features", "v_news", """
-    select id, concat('jane smith ', split_part(id, ':', 2)::bigint % 97, '|omar haddad ', split_part(id, ':', 2)::bigint % 89,
+    select id, concat('jane smith ', split_part(id, ':', 2)::bigint % 45, '|omar haddad ', split_part(id, ':', 2)::bigint % 89,
             '|gulf lines ', split_part(id, ':', 2)::bigint % 83) as entities,
         array_to_string(list_filter([case actor1 when 'U.S.' then 'u s' when 'Government' then null else lower(actor1) end, lower(actor2)], lambda x: x is not null), '|') as actors,
         case when split_part(id, ':', 2)::bigint % 8 = 0 then 'maritime' when split_part(id, ':', 2)::bigint % 8 = 1 then 'aviation|thermal' else '' end as topics
@@ -396,7 +396,7 @@ def _(v):
     return v.firms.filter(filters.new_thermal()).select("id")
 
 
-@query("s03_offset_list", "v_news", """select id, concat('Jane Smith ', split_part(id, ':', 2)::bigint % 97, '|Omar Haddad ', split_part(id, ':', 2)::bigint % 89) as names from v_news""")
+@query("s03_offset_list", "v_news", """select id, concat('Jane Smith ', split_part(id, ':', 2)::bigint % 45, '|Omar Haddad ', split_part(id, ':', 2)::bigint % 89) as names from v_news""")
 def _(v):
     raw = F.concat(F.col("persons")[0], F.lit(",12;"), F.lit(" "), F.col("persons")[1], F.lit(" ,7;;"), F.col("persons")[0], F.lit(",99; ,4"))
     return v.news.select("id", F.array_join(news.offset_list(raw), "|").alias("names"))

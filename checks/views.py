@@ -28,7 +28,7 @@ _VIEWS: dict[str, str] = {
         (event_id % 20 + 1) in (14, 15, 17, 18, 19, 20) as is_conflict, false as is_social,
         case event_id % 6 when 0 then 'U.S.' when 1 then 'Kyiv' when 2 then 'Government' when 3 then 'Tehran' when 4 then 'NAVY' else null end as actor1,
         case event_id % 4 when 0 then 'Moscow' when 1 then 'Oman Ports' else null end as actor2,
-        @ARRAY@(concat('Jane Smith ', event_id % 97), concat('Omar Haddad ', event_id % 89)) as persons,
+        @ARRAY@(concat('Jane Smith ', event_id % 45), concat('Omar Haddad ', event_id % 89)) as persons,
         @ARRAY@(concat('Gulf Lines ', event_id % 83), 'Reuters') as orgs,
         case event_id % 8 when 0 then @ARRAY@('MARITIME', concat('VESSEL ', event_id % 50)) when 1 then @ARRAY@('AIRSTRIKE') else @ARRAY@('ECON') end as themes
         from obs where event_type in ('click', 'error')""",
