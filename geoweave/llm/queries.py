@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import quality
+from geoweave.llm import quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op9_line_quality(spark, folder):
     return quality.clean_lines(_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
+
+
+@_query
+def op10_hilbert_shards(spark, folder):
+    return shards.shard_documents(_table(spark, folder, "documents")).select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
