@@ -3,6 +3,8 @@
 Of every window of `WINDOW` consecutive k-grams the least hash is kept, on both sides, by the same rule; so two texts that share GUARANTEE = K + WINDOW - 1 consecutive
 words share a kept hash. Kept hashes of documents and items meet in a join, and each meeting is extended along its diagonal by comparing words.
 Items of fewer words than GUARANTEE are one window as a whole and meet by the hash of all their words, one length at a time.
+
+Arrays are exploded with the `_outer` form: for the plain one Spark adds a filter on the array's size, whose pushdown would repeat the whole chain of array expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from geoweave.session import cut_lineage
 
 K, WINDOW = 7, 4
 GUARANTEE = K + WINDOW - 1
-LONGS = "array<bigint>"
 
 
 def _shifted(array: Column, by: int) -> Column:
@@ -62,7 +63,7 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     """(item_id, q, g): n-grams of the items with their places, of those that are looked up by n-grams: shorter ones by their whole length, others by K."""
     by = F.when(F.col("n") < GUARANTEE, F.col("n")).otherwise(K)
     df = items.filter(by == n).withColumn("w_h", F.transform("words", lambda w: F.xxhash64(w)))
-    return with_grams(df, "w_h", "w_g", n).select("item_id", F.posexplode("w_g").alias("q", "g"))
+    return with_grams(df, "w_h", "w_g", n).select("item_id", F.posexplode_outer("w_g").alias("q", "g"))
 
 
 def _met(grams: DataFrame, fingerprints: DataFrame, rows: int) -> DataFrame:
@@ -75,7 +76,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = [r["n"] for r in items.filter(F.col("n") < GUARANTEE).select("n").distinct().collect()]
     long_items = items.filter(F.col("n") >= GUARANTEE)
     marks = with_minima(with_grams(long_items.withColumn("w_h", F.transform("words", lambda w: F.xxhash64(w))), "w_h", "w_g", K), "w_g", "w_f")
-    marks = marks.select("item_id", F.explode("w_f").alias("g"))
+    marks = marks.select("item_id", F.explode_outer("w_f").alias("g"))
     for n in lengths:
         marks = marks.unionByName(item_grams(items.filter(F.col("n") == n), n).select("item_id", "g"))
     marks = cut_lineage(marks.distinct())
@@ -87,7 +88,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
         for n in lengths:
             df = with_grams(df, "w_h", f"w_s{n}", n)
         found = F.concat(found, *[F.array_distinct(f"w_s{n}") for n in lengths])
-    grams = df.select("key", F.explode(found).alias("g"))
+    grams = df.select("key", F.explode_outer(found).alias("g"))
     return _met(grams, marks, rows).select("key", "item_id").distinct()
 
 
@@ -101,11 +102,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = [r["n"] for r in items.filter(F.col("n") < GUARANTEE).select("n").distinct().collect()]
     diagonals = None
     for n in sorted({K, *lengths}):
-        grams = with_grams(hashed, "w_h", "w_g", n).select("key", F.posexplode("w_g").alias("p", "g"))
+        grams = with_grams(hashed, "w_h", "w_g", n).select("key", F.posexplode_outer("w_g").alias("p", "g"))
         met = grams.join(item_grams(items, n), "g").select("key", "item_id", (F.col("p") - F.col("q")).alias("d"))
         diagonals = met if diagonals is None else diagonals.unionByName(met)
     listed = diagonals.distinct().join(items.select("item_id", "n"), "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "d", "n")).alias("hits"))
-    sides = texts.join(listed, "key").select("key", F.explode(F.transform("hits", lambda h: F.struct(
+    sides = texts.join(listed, "key").select("key", F.explode_outer(F.transform("hits", lambda h: F.struct(
         h["item_id"].alias("item_id"), h["d"].alias("d"), F.slice("words", F.greatest(h["d"], F.lit(0)) + 1, h["n"] + F.least(h["d"], F.lit(0))).alias("own"), F.size("words").alias("size")))).alias("h"))
     sides = sides.select("key", "h.*").join(items, "item_id")
     # words of the document and the item along the diagonal; `from` is the document place of the first pair
@@ -113,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sides = sides.withColumn("same", F.zip_with("own", theirs, lambda a, b: F.coalesce(a == b, F.lit(False))))
     sides = with_windows(sides.select("key", "item_id", "d", "n", "same"), "same", "whole", GUARANTEE, lambda a, b: a & b)
     whole = F.when(F.col("n") >= GUARANTEE, F.col("whole")).otherwise(F.array((F.size("same") == F.col("n")) & F.forall("same", lambda e: e)))
-    starts = sides.select("key", "item_id", F.greatest("d", F.lit(0)).alias("from"), F.least("n", F.lit(GUARANTEE)).alias("need"), F.posexplode(whole).alias("i", "hit")).filter("hit")
+    starts = sides.select("key", "item_id", F.greatest("d", F.lit(0)).alias("from"), F.least("n", F.lit(GUARANTEE)).alias("need"), F.posexplode_outer(whole).alias("i", "hit")).filter("hit")
     spots = starts.select("key", "item_id", F.explode(F.sequence(F.col("from") + F.col("i"), F.col("from") + F.col("i") + F.col("need") - 1)).alias("pos"))
     return spots.distinct()
 
