@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, quality, shards, winnow
+from geoweave.llm import chat, chunks, quality, shards, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,9 @@ ids AS (SELECT doc_id, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FR
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
+
+
+@_query
+def op2_line_chunks(spark, folder):
+    left = chunks.drop_repeated_chunks(_table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_lines_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
