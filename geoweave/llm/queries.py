@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, chunks, quality, shards, winnow
+from geoweave.llm import chat, chunks, packing, quality, shards, tokens, winnow
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,13 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 def op2_line_chunks(spark, folder):
     left = chunks.drop_repeated_chunks(_table(spark, folder, "documents"))
     return left.select("doc_id", "n_lines", "n_lines_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_best_fit(spark, folder):
+    return packing.pack_documents(_table(spark, folder, "documents")).select("bin_id", "slot", "doc_id", "piece", "start", "length")
+
+
+@_query
+def op1_viterbi_counts(spark, folder):
+    return tokens.with_token_counts(_table(spark, folder, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "n_tokens")
