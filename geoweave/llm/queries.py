@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, chunks, packing, quality, shards, tokens, winnow
+from geoweave.llm import chat, chunks, neardup, packing, quality, shards, tokens, winnow
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -98,3 +98,8 @@ def op4_best_fit(spark, folder):
 @_query
 def op1_viterbi_counts(spark, folder):
     return tokens.with_token_counts(_table(spark, folder, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "n_tokens")
+
+
+@_query
+def op8_bag_minhash(spark, folder):
+    return neardup.near_classes(_table(spark, folder, "documents")).select("doc_id", "class_id")
