@@ -1,8 +1,11 @@
-"""Corpus pipeline: clean lines, drop repeated line chunks, near copies and benchmark leaks, then pack what is left into sequences."""
+"""Corpus pipeline: clean lines, drop repeated line chunks, near copies and benchmark leaks, then pack what is left into sequences.
+
+Every stage reads all rows its predecessor kept. All but the last return the columns of `documents`; the last returns which token range of which document goes into which bin.
+"""
 
 from __future__ import annotations
 
-from geoweave.llm import quality
+from geoweave.llm import chunks, neardup, packing, quality, winnow
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -10,8 +13,30 @@ def quality_rules(spark, docs, sf_dir):
     return quality.keep_clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark, docs, sf_dir):
+    """Texts without line chunks that stand elsewhere; a text that lost more than half of itself goes."""
+    return chunks.keep_novel(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents without a benchmark passage."""
+    report = winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return report.filter("not contaminated").select(*[f"`{c}`" for c in docs.columns])
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """(bin_id, slot, doc_id, piece, start, length)."""
+    return packing.pack_documents(docs).select("bin_id", "slot", "doc_id", "piece", "start", "length")
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
 
+#: Signatures, chunk hashes and packing have no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 

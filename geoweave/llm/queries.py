@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, chunks, neardup, packing, quality, shards, tokens, winnow
+from geoweave.llm import chat, chunks, neardup, packing, privacy, quality, secrets, shards, tokens, winnow
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -103,3 +103,13 @@ def op1_viterbi_counts(spark, folder):
 @_query
 def op8_bag_minhash(spark, folder):
     return neardup.near_classes(_table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+@_query
+def op6_linked_secrets(spark, folder):
+    return secrets.report(secrets.scan_secrets(_table(spark, folder, "documents")))
+
+
+@_query
+def op5_disclosure(spark, folder):
+    return privacy.report(privacy.sanitise(_table(spark, folder, "documents").select("doc_id", "text")))
