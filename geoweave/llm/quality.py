@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import packed, space_words, unpacked
+from geoweave.llm.common import kept_rows, own_columns, packed, space_words, unpacked
 
 BLANKS, WORD = "\\s", "\\S"  # of ASCII: blank, \\t, \\n, \\x0B, \\f, \\r
 SYMBOLS = "#*$%&|<>"
@@ -118,7 +118,4 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """Kept documents with their cleaned texts and the columns of `docs`; an `n_chars` column is counted anew."""
-    good = clean_lines(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return good.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else good
-
-
+    return kept_rows(clean_lines(docs), F.col("kept"), own_columns(docs))
