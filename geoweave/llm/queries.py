@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweave.llm import chat, chunks, neardup, packing, privacy, quality, secrets, shards, tokens, winnow
+from geoweave.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(build):
@@ -46,21 +48,6 @@ def op3_chat_parts(spark, folder):
                        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-_CONTROLS = "(<)(\\|turn\\|>|\\|body\\|>|\\|end\\|>|\\|image\\|>|\\|audio\\|>|\\|document\\|>|s>|/s>|<SYS>>|</SYS>>)|(\\[)(INST\\]|/INST\\])"
-
-ORACLES["op3_chat_parts"] = f"""
-WITH m AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (
-  SELECT *, length(regexp_replace(replace(role, '~', '~0'), '{_CONTROLS}', '\\1\\3~1\\2\\4', 'g')) AS nr,
-    length(regexp_replace(replace(text, '~', '~0'), '{_CONTROLS}', '\\1\\3~1\\2\\4', 'g')) AS nt FROM m)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len('<|turn|><|body|><|end|>')} + nr + nt) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id"""
-
 
 @_query
 def op7_winnowing(spark, folder):
@@ -68,20 +55,6 @@ def op7_winnowing(spark, folder):
     return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-_FOLDED = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-
-ORACLES["op7_winnowing"] = f"""
-WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_FOLDED} AS w FROM benchmark),
-bn AS (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bn)),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bn))),
-hit AS (SELECT DISTINCT doc_id, item_id, unnest(range(i, i + dw.n)) AS pos FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
-per AS (SELECT doc_id, count(DISTINCT pos) AS n_hit, count(DISTINCT item_id) AS n_items FROM hit GROUP BY 1),
-ids AS (SELECT doc_id, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)"""
-
 
 
 @_query
