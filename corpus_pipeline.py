@@ -25,8 +25,7 @@ def near_dedup(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Documents without a benchmark passage."""
-    report = winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return report.filter("not contaminated").select(*[f"`{c}`" for c in docs.columns])
+    return winnow.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark, docs, sf_dir):

@@ -44,17 +44,18 @@ def unpacked(df: DataFrame, own: list[str], **new: Column) -> DataFrame:
     return df.select(*columns, *[value.alias(name) for name, value in new.items()])
 
 
-def own_columns(docs: DataFrame) -> list[Column]:
-    """The columns of `docs`, to be taken from a frame with a changed `text`; `n_chars` is counted anew."""
-    return [F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-
-
-def kept_rows(df: DataFrame, keep: Column, columns: list[Column]) -> DataFrame:
+def filtered(df: DataFrame, keep: Column, columns: list[Column]) -> DataFrame:
     """`columns` of the rows where `keep` is true. A plain filter on costly columns would be pushed below the projections that compute them and repeat them all."""
     row = F.explode_outer(F.when(keep, F.array(F.struct(*columns)))).alias("row")
     return df.select(row).filter("row is not null").select("row.*")
 
 
+def kept_documents(df: DataFrame, keep: Column, own: list[str], text: Column) -> DataFrame:
+    """The caller's columns, from a frame with `row`, of the rows where `keep` is true; `text` is put in place, and an `n_chars` column is counted anew."""
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return filtered(df, keep, [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in own])
+
+
 def is_broadcastable(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> bool:
     """Whether a counted table may be broadcast; beyond the limit callers join by shuffle."""
     return rows * row_bytes <= limit_bytes

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import document_key, is_broadcastable, joined_spans, kept_rows, packed, spans_of, text_of, unpacked
+from geoweave.llm.common import document_key, filtered, is_broadcastable, joined_spans, packed, spans_of, text_of, unpacked
 from geoweave.session import cut_lineage
 
 #: Kinds in the order of reports, and their patterns. Possessive loops and a start only at the head of a run (or where the last match ended) keep them linear.
@@ -92,7 +92,7 @@ def sanitise(docs: DataFrame, reach: int = 60, generalise: float = 0.9, remove:
     Null and empty texts have no spans, texts without an entity none either; repeated rows are alike.
     """
     texts = packed(docs).withColumn("key", document_key())
-    found = cut_lineage(kept_rows(texts.withColumn("base", base_spans(F.col("text"))), F.size("base") > 0, [F.col("key"), F.xxhash64("text").alias("h"), F.col("text"), F.col("base")]))
+    found = cut_lineage(filtered(texts.withColumn("base", base_spans(F.col("text"))), F.size("base") > 0, [F.col("key"), F.xxhash64("text").alias("h"), F.col("text"), F.col("base")]))
     contexts = cut_lineage(entity_contexts(found.dropDuplicates(["key"]), reach))
     terms = contexts.join(disclosures(contexts, docs, generalise, remove, min_texts), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     none = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"

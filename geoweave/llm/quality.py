@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import kept_rows, own_columns, packed, space_words, unpacked
+from geoweave.llm.common import kept_documents, packed, space_words, unpacked
 
 BLANKS, WORD = "\\s", "\\S"  # of ASCII: blank, \\t, \\n, \\x0B, \\f, \\r
 SYMBOLS = "#*$%&|<>"
@@ -94,14 +94,8 @@ def _keeps(suspect: bool):
     return lambda line: ~line.rlike(WORD) | line_passes(line, suspect)
 
 
-def clean_lines(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10) -> DataFrame:
-    """The documents with `text` cleaned line by line, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (of the text as it was),
-    n_lines_removed, base_failed and kept.
-
-    base_failed: fewer than `min_words` words, or more than `max_repeat_percent` percent of the words in windows of three words that repeat.
-    kept: not base_failed, lines removed hold at most `max_lost` of the visible characters, symbols are at most `max_symbol_percent` percent of
-    them, and repeated lines are at most half of the lines. Null and empty texts have no words and fail. Repeated rows are judged alike.
-    """
+def judged(docs: DataFrame, max_lost: float, min_words: int, max_repeat_percent: int, max_symbol_percent: int) -> DataFrame:
+    """`packed` rows with the counts, q_lines, q_kept, q_clean, q_failed and q_good."""
     df = with_counts(packed(docs))
     df = df.withColumn("q_lines", F.split("text", "\n"))
     passing = [F.filter("q_lines", _keeps(s)) for s in (True, False)]
@@ -111,11 +105,24 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     good = ((F.col("word_chars") - left <= max_lost * F.col("word_chars")) & (100 * F.col("n_symbols") <= max_symbol_percent * F.col("word_chars"))
             & (2 * F.col("n_dup_lines") <= F.size("q_l")))
+    return df.withColumn("q_failed", failed).withColumn("q_good", ~F.col("q_failed") & good)
+
+
+def clean_lines(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10) -> DataFrame:
+    """The documents with `text` cleaned line by line, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (of the text as it was),
+    n_lines_removed, base_failed and kept.
+
+    base_failed: fewer than `min_words` words, or more than `max_repeat_percent` percent of the words in windows of three words that repeat.
+    kept: not base_failed, lines removed hold at most `max_lost` of the visible characters, symbols are at most `max_symbol_percent` percent of
+    them, and repeated lines are at most half of the lines. Null and empty texts have no words and fail. Repeated rows are judged alike.
+    """
+    df = judged(docs, max_lost, min_words, max_repeat_percent, max_symbol_percent)
     counts = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     return unpacked(df, docs.columns, text=F.col("q_clean"), **counts, n_lines_removed=(F.size("q_lines") - F.size("q_kept")).cast("bigint"),
-                    base_failed=failed, kept=~failed & good)
+                    base_failed=F.col("q_failed"), kept=F.col("q_good"))
 
 
-def keep_clean(docs: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10) -> DataFrame:
     """Kept documents with their cleaned texts and the columns of `docs`; an `n_chars` column is counted anew."""
-    return kept_rows(clean_lines(docs), F.col("kept"), own_columns(docs))
+    df = judged(docs, max_lost, min_words, max_repeat_percent, max_symbol_percent)
+    return kept_documents(df, F.col("q_good"), docs.columns, F.col("q_clean"))

@@ -119,19 +119,27 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spots.distinct()
 
 
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`packed` rows with `items` and `n_hit`, both null for clean documents."""
+    found = hits(docs, benchmark)
+    per_item = found.groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    items = per_item.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    words = found.select("key", "pos").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    report = cut_lineage(items.join(words, "key"))
+    return packed(docs).withColumn("key", document_key()).join(report, "key", "left")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` with n_words, n_hit, n_items, items (item ids as strings, sorted) and contaminated.
 
     Null and empty texts have no words and are clean; items without words are ignored; repeated items count once; repeated rows are judged alike; an empty
     benchmark leaves all clean.
     """
-    found = hits(docs, benchmark)
-    per_item = found.groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    items = per_item.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    words = found.select("key", "pos").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
-    report = cut_lineage(items.join(words, "key"))
-    own = packed(docs).withColumn("key", document_key()).withColumn("n_words", F.size(folded_words(F.col("text"))).cast("bigint"))
-    out = own.join(report, "key", "left")
     hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("bigint"))
-    return unpacked(out, docs.columns, n_words=F.col("n_words"), n_hit=hit, n_items=F.coalesce(F.size("items"), F.lit(0)).cast("bigint"),
+    return unpacked(judged(docs, benchmark), docs.columns, n_words=F.size(folded_words(F.col("text"))).cast("bigint"), n_hit=hit, n_items=F.coalesce(F.size("items"), F.lit(0)).cast("bigint"),
                     items=F.coalesce("items", F.array().cast("array<string>")), contaminated=hit > 0)
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that hold no window of an item, unchanged."""
+    return unpacked(judged(docs, benchmark).filter("n_hit is null"), docs.columns)
