@@ -172,11 +172,11 @@ def _(v):
     return scores_of(v).groupBy("stream", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p07_departed_gate", VIEWS, f"""{chain()}, {DEPARTED}, hot as (select distinct row + dr as row, col + dc as col from departed, (values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc) where bin between 100 and 199)
+@query("p07_departed_gate", VIEWS, f"""{chain()}, {DEPARTED}, hot as (select distinct row + dr as row, col + dc as col from departed, (values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc))
     select id from v_news n where split_part(id, ':', 2)::bigint % 7 <> 0 and exists (select 1 from hot where row = {cell('n.lat')} and col = {cell('n.lon')})""")
 def _(v):
     from geoweave.operators.filters import departed_gate
-    cells = bl.departed_cells(scores_of(v)).filter("bin between 100 and 199")
+    cells = bl.departed_cells(scores_of(v))
     place = F.when(F.split_part("id", F.lit(":"), F.lit(2)).cast("bigint") % 7 == 0, F.lit("Doha harbour")).otherwise(F.col("place"))
     records = v.news.withColumns({"kind": F.lit("gdelt"), "label": F.concat(F.lit("Fight: "), place)})
     return departed_gate(records, cells).select("id")

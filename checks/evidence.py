@@ -27,7 +27,7 @@ def candidates_of(v):
 
 
 def best_of(v):
-    return cand.best_candidates(candidates_of(v))
+    return cand.best_candidates(candidates_of(v), 250)
 
 
 @query("u01_evidence_records", VIEWS, """select id, 'gdelt' as kind, concat(root_code, ': ', place) as label, t, 'gdelt_date_added_not_incident_time' as timestamp_kind from v_news
@@ -89,14 +89,14 @@ _FLAG = f"""flagged as (select b.*, exists (select 1 from hot h, (select * from
     where ((p.id = b.l_id and p.t = b.l_t) or (p.id = b.r_id and p.t = b.r_t)) and h.row = {cell('p.lat')} and h.col = {cell('p.lon')}) as hot from top b)"""
 
 
-@query("j17_hot_candidates", VIEWS, f"with {FACTS}, {BEST}, {_HOT}, top as (select * from best order by score desc, coverage_key limit 250), {_FLAG} select coverage_key, hot from flagged")
+@query("j17_hot_candidates", VIEWS, f"with {FACTS}, {BEST}, {_HOT}, top as (select * from best), {_FLAG} select coverage_key, hot from flagged")
 def _(v):
     return _flagged(v).select("coverage_key", "hot")
 
 
 def _flagged(v):
     dense = v.spark.sql("select * from values (25, 55), (26, 56) as t(row, col)")
-    return cand.with_hot_flag(best_of(v), dense)
+    return cand.with_hot_flag(cand.best_candidates(candidates_of(v)), dense)
 
 
 @query("w08_review_batch", VIEWS)
@@ -124,7 +124,7 @@ def _(v):
 
 @query("e01_prompt_payload", VIEWS)
 def _(v):
-    return verdicts.prompt_payload(cand.best_candidates(candidates_of(v), 50), records_of(v))
+    return verdicts.prompt_payload(cand.best_candidates(candidates_of(v)), records_of(v))
 
 
 # ---- verdicts ------------------------------------------------------------------------------------
@@ -169,7 +169,7 @@ def _(v):
 @query("e04_latest_per_pair", "v_verdicts", """with r as (select *, row_number() over (partition by least(left_id, right_id), greatest(left_id, right_id) order by created_at desc, id desc) as rn from v_verdicts)
     select id, created_at from r where rn = 1 order by created_at desc, id limit 500""")
 def _(v):
-    return verdicts.latest_per_pair(v.verdicts).select("id", "created_at")
+    return verdicts.latest_per_pair(v.verdicts, 500).select("id", "created_at")
 
 
 @query("a29_best_per_pair", "v_verdicts", """select id from (select *, row_number() over (partition by left_id, right_id order by verdict = 'SUPPORTED' desc, evidence_strength desc, created_at desc) as rn
@@ -319,7 +319,7 @@ def _(v):
 @query("j15_entity_neighbourhood", "v_news", f"""with {_EDGES} select distinct src as neighbour, kind from edges where dst = 'actor:IRAN' order by kind, src limit 250""")
 def _(v):
     edges = graph.event_edges(v.news, once=True)
-    return graph.neighbourhood(edges, graph.base_nodes(v.news), "actor:IRAN").select("neighbour", "kind")
+    return graph.neighbourhood(edges, graph.base_nodes(v.news), "actor:IRAN", 250).select("neighbour", "kind")
 
 
 @query("j16_asserted_context", "v_news v_points", f"""with {_EDGES}, once as (select distinct src, dst, kind from edges),
@@ -327,7 +327,7 @@ def _(v):
     ranked as (select *, row_number() over (partition by id order by kind, direction, other) as rn from both_ways) select id, other, kind, direction from ranked where rn <= 30""")
 def _(v):
     nodes = graph.base_nodes(v.news)
-    return graph.asserted_context(nodes, graph.event_edges(v.news), nodes).select("id", "other", "kind", "direction")
+    return graph.asserted_context(nodes, graph.event_edges(v.news), nodes, 30).select("id", "other", "kind", "direction")
 
 
 @query("l02_bounded_graph", "v_news v_points")

@@ -44,7 +44,7 @@ def _(v):
     used = {4: F.col("id"), 8: coded("themes"), 12: coded("persons"), 14: coded("orgs")}
     fields = F.array(*[used.get(i, F.lit("")) for i in range(27)])
     lines = v.news.select(F.array_join(F.when(n % 50 == 0, F.slice(fields, 1, 12)).otherwise(fields), "\t").alias("value"))
-    return news.parse_entities(lines).select(F.col("url").alias("id"), *[F.array_join(c, "|").alias(c) for c in ("persons", "orgs", "themes")])
+    return news.parse_entities(lines, news.ENTITY_LIMITS).select(F.col("url").alias("id"), *[F.array_join(c, "|").alias(c) for c in ("persons", "orgs", "themes")])
 
 
 @query("s04_window_stamps", "v_news", """with days as (select distinct floor(t / 86400) * 86400e0 as day_start from v_news)
@@ -110,7 +110,7 @@ _GAZ = {"thing": (26.57, 56.25), "ering": (25.12, 56.34), "nicht": (25.20, 55.27
 _POST_SQL = "(select id, name, pos, la from v_posts, (values ('thing', 2, 26.57e0), ('ering', 1, 25.12e0), ('nicht', 0, 25.2e0)) z(name, pos, la) where contains(lower({text}), name))"
 
 
-@query("s11_listing_posts", "v_posts", """select concat('reddit:r/', channel, '/', doc_id) as id, t, views + 7 as views, length(substr(concat('T', chr(10), regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 4000)) as n
+@query("s11_listing_posts", "v_posts", """select concat('reddit:r/', channel, '/', doc_id) as id, t, views + 7 as views, length(concat('T', chr(10), regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) as n
     from v_posts where platform = 'reddit'""")
 def _(v):
     data = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("t").alias("created_utc"), F.lit("<b>T</b> ").alias("title"), F.col("text").alias("selftext"), F.col("views").alias("score"), F.lit(7).alias("num_comments"))
@@ -118,7 +118,7 @@ def _(v):
     return social.parse_listing(_platform(v, "reddit").select("channel", value.alias("value")), gazetteer=_GAZ).select("id", "t", "views", F.length("text").cast("bigint").alias("n"))
 
 
-@query("s12_search_posts", "v_posts", """select concat('bsky:', channel, '/k', doc_id) as id, t, views + 4 as views, length(substr(text, 1, 4000)) as n from v_posts where platform = 'bluesky'""")
+@query("s12_search_posts", "v_posts", """select concat('bsky:', channel, '/k', doc_id) as id, t, views + 4 as views, length(text) as n from v_posts where platform = 'bluesky'""")
 def _(v):
     p = _platform(v, "bluesky")
     iso = F.concat(F.date_format(F.timestamp_add("SECOND", F.col("t").cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

@@ -136,7 +136,7 @@ _ROWS = f"""marks2 as (select id, t, cast(floor((t - {T0}) / 3600) as int) as bi
     numbered as (select *, count(*) over (partition by component) as total, row_number() over (partition by component, stream order by t desc, id) as rn from rolled)"""
 
 
-@query("a17_evidence_rollup", VIEWS, f"{CHAIN}, {COMPONENTS}, {RING}, {_ROWS} select component, stream, id, t, mentions, total from numbered where rn <= 8")
+@query("a17_evidence_rollup", VIEWS, f"{CHAIN}, {COMPONENTS}, {RING}, {_ROWS} select component, stream, id, t, mentions, total from numbered")
 def _(v):
     return analysis_of(v).evidence.select("component", "stream", "id", "t", "mentions", "total")
 

@@ -229,4 +229,4 @@ def _(v):
 @query("q06_entity_graph", "v_news")
 def _(v):
     from geoweave.operators import graph
-    return graph.neighbourhood(graph.event_edges(v.news, once=True), graph.base_nodes(v.news), "actor:RUSSIA").select("neighbour", "neighbour_kind", "kind")
+    return graph.neighbourhood(graph.event_edges(v.news, once=True), graph.base_nodes(v.news), "actor:RUSSIA", 250).select("neighbour", "neighbour_kind", "kind")

@@ -90,7 +90,7 @@ def strip_tags(markup: Column) -> Column:
     return F.regexp_replace(markup, r"<[^>]+>", "")
 
 
-def html_to_text(markup: Column, limit: int | None = 4000) -> Column:
+def html_to_text(markup: Column, limit: int | None = None) -> Column:
     """Paragraph and line breaks become newlines, other tags go, references are decoded."""
     text = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?i)</p\s*>", "\n")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")

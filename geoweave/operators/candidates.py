@@ -84,8 +84,14 @@ def identity_hits() -> Column:
                     & (~i["maritime_context"] | F.array_contains("l_topics", F.lit("maritime"))))
 
 
-def match_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds match_type, overlap and why: identifier, name, entity, topic or proximity."""
+def match_pairs(pairs: DataFrame, most_overlap: int | None = None, most_named: int | None = None) -> DataFrame:
+    """Adds match_type, overlap and why: identifier, name, entity, topic or proximity.
+
+    `most_overlap` and `most_named` shorten the shared names and their mention in `why` for display.
+    """
+    def first(names: Column, most: int | None) -> Column:
+        return names if most is None else F.slice(names, 1, most)
+
     none = F.array().cast("array<string>")
     both_news = F.col("l_kind").isin(*NEWS_KINDS) & F.col("r_kind").isin(*NEWS_KINDS)
     report = F.col("l_kind").isin(*NEWS_KINDS)
@@ -109,11 +115,11 @@ def match_pairs(pairs: DataFrame) -> DataFrame:
     by_topic = ~both_news & (F.size("_topics") > 0)
     kind = (F.when(has_ids & strong, "identifier").when(has_ids, "name").when(F.size("_entities") > 0, "entity")
             .when(by_actor | by_topic, "topic").otherwise("proximity"))
-    overlap = (F.when(has_ids, labels).when(F.size("_entities") > 0, F.slice("_entities", 1, 8)).when(by_actor, F.slice("_actors", 1, 8)).otherwise(none))
+    overlap = (F.when(has_ids, labels).when(F.size("_entities") > 0, first(F.col("_entities"), most_overlap)).when(by_actor, first(F.col("_actors"), most_overlap)).otherwise(none))
     relevant = F.concat(F.lit("relevant reporting: "), F.array_join("_topics", ", "))
     why = (F.when(has_ids, F.transform(labels, lambda v: F.concat(F.lit("reported "), v)))
-           .when(F.size("_entities") > 0, F.array(F.concat(F.lit("shared named entities: "), F.array_join(F.slice("_entities", 1, 4), ", "))))
-           .when(by_actor, F.array(relevant, F.concat(F.lit("shared report actors: "), F.array_join(F.slice("_actors", 1, 4), ", "))))
+           .when(F.size("_entities") > 0, F.array(F.concat(F.lit("shared named entities: "), F.array_join(first(F.col("_entities"), most_named), ", "))))
+           .when(by_actor, F.array(relevant, F.concat(F.lit("shared report actors: "), F.array_join(first(F.col("_actors"), most_named), ", "))))
            .when(by_topic, F.array(relevant)).otherwise(F.array(F.lit("proximity only; no shared identity or relevant reporting"))))
     return p.withColumns({"match_type": kind, "overlap": overlap, "why": why}).drop("_ids", "_entities", "_actors", "_topics")
 
@@ -186,13 +192,14 @@ def best_per_coverage(pairs: DataFrame) -> DataFrame:
     return best.select("coverage_key", *[F.col(f"_p.{c}").alias(c) for c in payload])
 
 
-def generate_candidates(records: DataFrame, limit: int = 250, **join_options) -> DataFrame:
-    """The best pairs for review, at most `limit` (the size of the review list)."""
+def generate_candidates(records: DataFrame, limit: int | None = None, **join_options) -> DataFrame:
+    """The best pair of each coverage key, or the `limit` best of them (a review list holds 250)."""
     return best_candidates(candidate_pairs(retrieval_table(records), **join_options), limit)
 
 
-def best_candidates(pairs: DataFrame, limit: int = 250) -> DataFrame:
-    return best_per_coverage(pairs).orderBy(F.col("score").desc(), "coverage_key").limit(limit)
+def best_candidates(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    best = best_per_coverage(pairs)
+    return best if limit is None else best.orderBy(F.col("score").desc(), "coverage_key").limit(limit)
 
 
 def with_hot_flag(candidates: DataFrame, incident_cells: DataFrame) -> DataFrame:

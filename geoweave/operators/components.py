@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions.geo import explode_ring
-from geoweave.session import cut_lineage
+from geoweave.session import cut_lineage, drop_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     round is written to the shared checkpoint folder, and only two numbers per round reach the driver. The per-node minimum
     is a partial aggregate joined back, so a node with very many neighbours is split by the skew-join handling.
     """
+    edges = cut_lineage(edges.select("a", "b").distinct())  # read by the nodes and by the first round
     own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     nodes = own.distinct() if nodes is None else nodes.select("node").unionByName(own).distinct()
-    current, before = cut_lineage(edges.select("a", "b").filter("a <> b").distinct()), None
-    for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
+    current, before = edges.filter("a <> b"), None
+    for turn in range(max_rounds):
+        last, current = current, cut_lineage(_small_star(_large_star(current)))
+        if turn:
+            drop_table(last)  # a superseded round
         mark = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if before == (mark["n"], mark["h"]):
             break

@@ -84,6 +84,7 @@ def matches_text(columns: list[str], needle: str) -> Column:
     return F.lit(True) if not wanted else F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(wanted))
 
 
-def newest_on_platform(posts: DataFrame, platform: str | None, limit: int = 500) -> DataFrame:
+def newest_on_platform(posts: DataFrame, platform: str | None, limit: int | None = None) -> DataFrame:
+    """Posts of one platform, or all; `limit` takes the newest."""
     out = posts.filter(F.col("platform") == platform.strip().lower()) if platform else posts
-    return out.orderBy(F.col("t").desc(), "id").limit(limit)
+    return out if limit is None else out.orderBy(F.col("t").desc(), "id").limit(limit)

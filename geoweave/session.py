@@ -31,12 +31,19 @@ def build_session(app: str = "geoweave", cpus: str | int = "*", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder used by `checkpoint()`: the cluster's `spark.checkpoint.dir`, or a scratch one where that is unset."""
+    """Folder of intermediate tables: the cluster's `spark.checkpoint.dir`. Only a local master may do without and gets a scratch folder.
+
+    On several machines a scratch folder of the driver would be another folder on each of them, so there it is refused.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -51,3 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `cut_lineage` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/") + "/table-"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

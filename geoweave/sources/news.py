@@ -40,15 +40,16 @@ def parse_export(lines: DataFrame, only_geo: bool = True) -> DataFrame:
     return out.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()) if only_geo else out
 
 
-def parse_entities(lines: DataFrame) -> DataFrame:
-    """`value` lines of an entity file to (url, themes, persons, orgs), lists cut to the provider's useful length.
+def parse_entities(lines: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """`value` lines of an entity file to (url, themes, persons, orgs), whole or cut to `limits` (ENTITY_LIMITS: what a list shows).
 
     A `pos` column, when present, is kept: it decides which row of an address is the last.
     """
     rows = lines.withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= ENTITY_COLUMNS)
-    keep = ["pos"] if "pos" in lines.columns else []
+    keep, limits = ["pos"] if "pos" in lines.columns else [], limits or {}
+    lists = {n: offset_list(F.col("_f")[ENTITY[n]]) for n in ("themes", "persons", "orgs")}
     return rows.select(*keep, F.col("_f")[ENTITY["url"]].alias("url"),
-                       *[F.slice(offset_list(F.col("_f")[ENTITY[n]]), 1, ENTITY_LIMITS[n]).alias(n) for n in ("themes", "persons", "orgs")])
+                       *[(F.slice(names, 1, limits[n]) if n in limits else names).alias(n) for n, names in lists.items()])
 
 
 def attach_entities(events: DataFrame, entities: DataFrame) -> DataFrame:
@@ -62,12 +63,12 @@ def attach_entities(events: DataFrame, entities: DataFrame) -> DataFrame:
 
 def read_export(spark: SparkSession, paths, entity_paths=None) -> DataFrame:
     """Events of export files, with entities when their files are given. Lines are split after the scan, so any number
-    of trailing columns is accepted; Spark reads gzip and plain text alike."""
+    of trailing columns is accepted; Spark reads gzip and plain text alike. The last line of an address is the last by file, split and place in it."""
     events = parse_export(spark.read.text(paths))
     if entity_paths is None:
         none = F.array().cast("array<string>")
         return events.withColumns({n: none for n in ("themes", "persons", "orgs")})
-    lines = spark.read.text(entity_paths).withColumn("pos", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()))
+    lines = spark.read.text(entity_paths).withColumn("pos", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     return attach_entities(events, parse_entities(lines))
 
 

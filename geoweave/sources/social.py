@@ -29,7 +29,11 @@ def _whole(value: Column) -> Column:
     return F.coalesce(value.try_cast("bigint"), F.lit(0))
 
 
-def parse_listing(payloads: DataFrame, **options) -> DataFrame:
+def _cut(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def parse_listing(payloads: DataFrame, max_chars: int | None = None, **options) -> DataFrame:
     """(channel, value) listing payloads to posts."""
     item = ("struct<id:string,created_utc:double,title:string,selftext:string,permalink:string,score:bigint,num_comments:bigint,post_hint:string,"
             "preview:string,url_overridden_by_dest:string>")
@@ -43,12 +47,12 @@ def parse_listing(payloads: DataFrame, **options) -> DataFrame:
              | F.coalesce(F.lower("url_overridden_by_dest").rlike(r"\.(jpg|png|gif|mp4)$"), F.lit(False)))
     return _finish(d.select(
         F.concat(F.lit("reddit:"), sub, F.lit("/"), "id").alias("id"), F.lit("reddit").alias("platform"), F.col("created_utc").alias("t"),
-        sub.alias("channel"), F.substring(F.when(body != "", F.concat(title, F.lit("\n"), body)).otherwise(title), 1, 4000).alias("text"),
+        sub.alias("channel"), _cut(F.when(body != "", F.concat(title, F.lit("\n"), body)).otherwise(title), max_chars).alias("text"),
         F.when(F.startswith(link, F.lit("http")), link).otherwise(F.concat(F.lit("https://www.reddit.com"), link)).alias("url"),
         (_whole(F.col("score")) + _whole(F.col("num_comments"))).alias("views"), media.alias("has_media")), **options)
 
 
-def parse_search(payloads: DataFrame, **options) -> DataFrame:
+def parse_search(payloads: DataFrame, max_chars: int | None = None, **options) -> DataFrame:
     """`value` search payloads to posts."""
     item = "struct<uri:string,author:struct<handle:string>,record:struct<text:string,createdAt:string>,indexedAt:string,likeCount:bigint,repostCount:bigint,embed:string>"
     p = payloads.select(F.explode(F.from_json("value", f"posts array<{item}>")["posts"]).alias("p")).select("p.*")
@@ -57,18 +61,18 @@ def parse_search(payloads: DataFrame, **options) -> DataFrame:
     t = _iso_seconds(F.coalesce(F.nullif(F.col("record.createdAt"), F.lit("")), F.col("indexedAt")))
     rows = p.filter(F.coalesce("uri", F.lit("")) != "").select(
         F.concat(F.lit("bsky:"), author, F.lit("/"), key).alias("id"), F.lit("bluesky").alias("platform"), t.alias("t"), author.alias("channel"),
-        F.substring(F.coalesce("record.text", F.lit("")), 1, 4000).alias("text"),
+        _cut(F.coalesce("record.text", F.lit("")), max_chars).alias("text"),
         F.concat(F.lit("https://bsky.app/profile/"), author, F.lit("/post/"), key).alias("url"),
         (_whole(F.col("likeCount")) + _whole(F.col("repostCount")) * 2).alias("views"), F.col("embed").isNotNull().alias("has_media"))
     return _finish(rows.filter(F.col("t").isNotNull()), **options)
 
 
-def parse_statuses(payloads: DataFrame, instance: str = "mastodon.social", **options) -> DataFrame:
+def parse_statuses(payloads: DataFrame, instance: str = "mastodon.social", max_chars: int | None = None, **options) -> DataFrame:
     """`value` arrays of statuses to posts."""
     item = ("struct<id:string,created_at:string,content:string,spoiler_text:string,account:struct<acct:string>,url:string,favourites_count:bigint,"
             "reblogs_count:bigint,media_attachments:array<string>>")
     s = payloads.select(F.explode(F.from_json("value", f"array<{item}>")).alias("s")).select("s.*")
-    text, spoiler = html_to_text(F.col("content")), F.trim(F.coalesce("spoiler_text", F.lit("")))
+    text, spoiler = html_to_text(F.col("content"), max_chars), F.trim(F.coalesce("spoiler_text", F.lit("")))
     acct = F.regexp_replace(F.coalesce(F.nullif(F.col("account.acct"), F.lit("")), F.lit("unknown")), "^@+", "")
     whole = F.when(spoiler == "", text).when(text == "", spoiler).otherwise(F.concat(spoiler, F.lit("\n"), text))
     rows = s.filter(F.coalesce("id", F.lit("")) != "").select(
@@ -88,7 +92,7 @@ def statuses_in_range(posts: DataFrame, t_from: float, t_to: float | None = None
 
 def parse_preview_pages(pages: DataFrame, **options) -> DataFrame:
     """(channel, html) channel preview pages to posts, one per message block."""
-    blocks = F.slice(F.split("html", '<div class="tgme_widget_message_wrap'), 2, 1_000_000)
+    blocks = F.filter(F.split("html", '<div class="tgme_widget_message_wrap'), lambda b, i: i > 0)
     b = pages.select("channel", F.explode(blocks).alias("b"))
     number = F.regexp_extract("b", r'data-post="[^"/]+/(\d+)"', 1)
     shown = F.regexp_extract("b", r'(?s)<div class="tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>', 1)
