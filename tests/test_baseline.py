@@ -1,108 +1,99 @@
-"""Baseline states and incidents on two-day windows of hourly bins."""
+"""Baseline counts, robust states and incidents: seeded data against short brute-force versions."""
 
+import random
+import statistics
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from geoweave.operators import baseline as bl
+from geoweave.operators import incidents as inc
+from geoweave.operators.components import cell_components
 from geoweave.plans.analysis import Analysis
 
-T0 = 1_787_000_400.0 - 1_787_000_400 % 86400
-WINDOW = bl.BinWindow(T0, T0 + 2 * 86400 - 1)
-EVENTS = "id string, t double, lat double, lon double, url string, is_conflict boolean, is_social boolean, place string, root_label string, themes array<string>, persons array<string>, orgs array<string>"
-POINTS = "hex string, t double, lat double, lon double, military boolean, nic int, nac_p int"
-FIRES = "id string, t double, lat double, lon double, novelty double"
+START, DAYS, BINS = 1_700_006_400.0, 3, 72  # a UTC midnight
+SPAN = bl.BinWindow(START, START + DAYS * 86400 - 1)
+NEWS = "id string, t double, lat double, lon double, url string, is_conflict boolean, is_social boolean, place string, root_label string, themes array<string>, persons array<string>, orgs array<string>"
+TRACKS = "hex string, t double, lat double, lon double, military boolean, nic int, nac_p int"
+HEAT = "id string, t double, lat double, lon double, novelty double"
 
 
-def event(i, t, lat, lon, url, conflict=False, social=False, themes=("ECON",), label="Make statement"):
-    return (i, t, lat, lon, url, conflict, social, "Strait", label, list(themes), [], [])
+def story(name, bin_, cell, url, conflict=False, social=False, themes=(), label="Consult"):
+    return (name, START + 3600 * bin_ + zlib.crc32(url.encode()) % 3600, cell[0] + 0.2, cell[1] + 0.7, url, conflict, social, "Harbour", label, list(themes), [], [])
 
 
-def craft(lat, lon, per_hour, military=False, nic=8, prefix="h"):
-    rows, k = [], 0
-    for i, n in per_hour.items():
-        for _ in range(n):
-            rows.append((f"{prefix}{k:04d}", T0 + i * 3600 + 60, lat + .4, lon + .4, military, nic, 9))
-            k += 1
+def seeded_news(seed, cells, surges):
+    """Poisson-like article counts per cell and hour, with repeats of addresses, and `surges` {(cell, bin): extra articles}."""
+    rng, rows = random.Random(seed), []
+    for cell in cells:
+        for b in range(BINS):
+            for k in range(sum(rng.random() < 0.35 for _ in range(9)) + surges.get((cell, b), 0)):
+                url = f"https://paper.example/{cell[0]}-{cell[1]}/{b}/{k}"
+                rows += [story(f"n{len(rows) + r}", b, cell, url) for r in range(rng.choice((1, 1, 3)))]
     return rows
 
 
-def scores(spark, events=(), points=()):
-    e = spark.createDataFrame(list(events), EVENTS) if events else None
-    p = spark.createDataFrame(list(points), POINTS) if points else None
-    return bl.baseline_scores(WINDOW, e, p)
-
-
-def at(df, stream, cell, i):
-    return df.filter((F.col("stream") == stream) & (F.col("row") == cell[0]) & (F.col("col") == cell[1]) & (F.col("bin") == i)).first()
-
-
-def test_articles_count_once_and_a_spike_departs(spark):
-    rows = [event(f"e{i}-{a}", T0 + i * 3600 + 30, 26.5, 56.5, f"http://x/{i}/{a}") for i in range(48) for a in range(2)]
-    rows += [event(f"dup{r}", T0 + 33 * 3600 + 100, 26.5, 56.5, "http://x/same") for r in range(10)]
-    rows += [event(f"new{a}", T0 + 33 * 3600 + 200, 26.5, 56.5, f"http://x/new/{a}") for a in range(8)]
-    s = scores(spark, rows).cache()
-    d = at(s, "news", (26, 56), 33)
-    assert d.value == 11 and d.state == "new_change" and d.z > 2 and d.reference_n >= 4
-    assert at(s, "news", (26, 56), 44).state == "normal"
-    assert (26, 56) in {(r.row, r.col) for r in bl.departed_cells(s).filter("bin = 33").collect()}
-
-
-def test_persistent_recovering_and_thin_integrity(spark):
-    per = {i: 20 if 28 <= i < 32 else 2 for i in range(48)}
-    s = scores(spark, points=craft(24, 52, per, military=True) + craft(30, 52, {i: 3 for i in range(48)}, nic=3, prefix="t")).cache()
-    assert [at(s, "military", (24, 52), i).state for i in (28, 31, 32)] == ["new_change", "persistent", "recovering"]
-    thin = at(s, "navint", (30, 52), 30)
-    assert thin.state == "insufficient" and thin.coverage == 3 and thin.z is None
-
-
-def test_expected_cooccurrence_counts_families(spark):
-    flights = craft(25, 55, {i: 60 if i == 33 else 5 for i in range(48)})
-    news = [event(f"n{i}", T0 + i * 3600 + 30, 25.3, 55.3, f"http://y/{i}") for i in range(48)]
-    news += [event(f"s{a}", T0 + 33 * 3600 + 30, 25.3, 55.3, f"http://y/s/{a}", True) for a in range(12)]
-    posts = [event(f"tg:x/p{a}", T0 + 33 * 3600 + 40, 25.3, 55.3, f"http://t.me/x/{a}", social=True) for a in range(10)]
-
-    def cells(*parts):
-        rows = [r for p in parts for r in p]
-        return {(r.row, r.col) for r in bl.departed_cells(scores(spark, rows, flights)).filter("bin = 33").collect()}
-
-    assert (25, 55) not in cells(news)
-    assert (25, 55) in cells(news, posts)
-
-
-def scenario(spark):
-    points = craft(26, 56, {i: 25 if i in (28, 29, 30) else 2 for i in range(48)}, military=True, nic=3)
-    points += craft(26, 56, {i: 20 for i in range(48)}, nic=8, prefix="c")
-    news = [event(f"n{i}", T0 + i * 3600 + 30, 26.5, 56.5, f"http://z/{i}") for i in range(48)]
-    news += [event(f"v{a}", T0 + 29 * 3600 + 30, 26.5, 56.5, f"http://z/v/{a}", True, themes=("MARITIME", "TANKER attack in the strait"), label="Fight") for a in range(15)]
-    return Analysis(WINDOW, spark.createDataFrame(news, EVENTS), spark.createDataFrame(points, POINTS), spark.createDataFrame([], FIRES))
-
-
-def test_incident_course(spark):
-    a = scenario(spark)
-    rows = {r.bin: r for r in a.incidents.collect()}
-    assert rows[28].state == "new_change" and rows[28].incident_id == rows[29].incident_id == rows[30].incident_id
-    assert {"military", "navint"} <= set(rows[28].departed) and "news" not in rows[28].departed
-    assert rows[31].state == "recovering" and rows[31].incident_id == rows[28].incident_id and 33 not in rows
-    told = {r.bin: r for r in a.assessments.collect()}
-    assert told[28].established.endswith("physical change without reporting")
-    lead = {r.bin: r.explanation for r in a.ranked.filter("place = 1").collect()}
-    assert lead[29] == "maritime_incident"
-    status = {(r.bin, r.explanation, r.prediction.split(":")[0]): r.status for r in a.predictions.collect()}
-    assert status[29, "maritime_incident", "keywords"] == "supported"
-    assert status[29, "routine_pattern", "prior_day_same"] == "contradicted"
-    revs = a.revisions.filter(F.col("t") == T0 + 29 * 3600).collect()
-    assert len(revs) == 1 and {"news", "conflict"} & set(revs[0].added)
-    assert not a.incidents.filter("bin = 40").collect()
+def brute_states(values):
+    """The state of every bin of one count series: median and scaled deviation of the same hours of earlier days and of the hours just before."""
+    states, runs, before = [], 0, False
+    for b, v in enumerate(values):
+        day, hour = divmod(b, 24)
+        reference = [values[d * 24 + h] for d in range(day) for h in range(max(hour - 2, 0), min(hour + 2, 23) + 1)]
+        reference += [values[day * 24 + h] for h in (hour - 3, hour - 2) if h >= 0]
+        if len(reference) < bl.MIN_REFERENCE:
+            states.append("insufficient")
+            runs, before = 0, False
+            continue
+        middle = statistics.median(reference)
+        spread = max(statistics.median(abs(x - middle) for x in reference) * bl.MAD_SCALE, (middle + 1) ** 0.5)
+        hit = (v - middle) / spread >= bl.Z_THRESHOLD
+        runs = runs + 1 if hit else 0
+        states.append("persistent" if runs >= bl.PERSISTENT_BINS else "new_change" if hit else "recovering" if before else "normal")
+        before = hit
+    return states
+
+
+def test_states_of_news_equal_brute_force(spark):
+    cells = [(41, 12), (41, 13), (-7, 100)]
+    rows = seeded_news(11, cells, {(cells[0], 50): 15, (cells[0], 51): 15, (cells[0], 52): 15, (cells[2], 60): 9})
+    got = {}
+    for r in bl.baseline_scores(SPAN, spark.createDataFrame(rows, NEWS), None).filter("stream = 'news'").collect():
+        got.setdefault((r.row, r.col), {})[r.bin] = (r.raw_value, r.state)
+    articles = {}
+    for r in rows:
+        articles.setdefault(((int(r[2] // 1), int(r[3] // 1)), int((r[1] - START) // 3600)), set()).add(r[4])
+    for cell in cells:
+        values = [len(articles.get((cell, b), ())) for b in range(BINS)]
+        assert [got[cell][b] for b in range(BINS)] == list(zip(values, brute_states(values)))
+    assert {"new_change", "persistent", "recovering"} <= {s for _, s in got[cells[0]].values()}
+
+
+def test_navigation_needs_enough_reporters(spark):
+    rng = random.Random(3)
+    rows = [(f"x{b}-{k}", START + 3600 * b + 30 * k, 10.5, -3.5, False, 2 if b == 55 and k < n else 9, 9) for b in range(BINS) for n in [40 if b % 2 else 3] for k in range(n)]
+    rng.shuffle(rows)
+    s = {r.bin: r for r in bl.baseline_scores(SPAN, None, spark.createDataFrame(rows, TRACKS)).filter("stream = 'navint' and row = 10 and col = -4").collect()}
+    assert s[55].state == "new_change" and s[55].raw_value == 1.0 and s[55].coverage == 40
+    assert {s[b].state for b in range(30, BINS, 2)} == {"insufficient"} and {s[b].state for b in range(57, BINS, 2)} == {"normal"}
+
+
+def test_analysis_joins_streams_to_one_incident(spark):
+    cell = (33, 34)
+    calm = seeded_news(21, [cell], {})
+    loud = [story(f"c{k}", 54, cell, f"https://wire.example/{k}", conflict=True, label="Coerce") for k in range(18)]
+    flights = [(f"m{b}-{k}", START + 3600 * b + 20 * k, 33.5, 34.5, True, 9, 9) for b in range(BINS) for k in range(22 if 53 <= b <= 55 else 3)]
+    a = Analysis(SPAN, spark.createDataFrame(calm + loud, NEWS), spark.createDataFrame(flights, TRACKS), spark.createDataFrame([], HEAT))
+    rows = {r.bin: r for r in a.incidents.collect() if 50 <= r.bin <= 60}
+    assert len({rows[b].incident_id for b in (53, 54, 55)}) == 1 and rows[53].state == "new_change"
+    assert "military" in rows[53].departed and "conflict" not in rows[53].departed and "conflict" in rows[54].departed
+    evidence = a.evidence.collect()
+    assert {r.url for r in evidence if r.stream == "conflict"} == {f"https://wire.example/{k}" for k in range(18)}  # all of them, not a first few
+    assert a.ranked.filter("bin = 54").count() > 0
 
 
 def test_tracking_equals_walking_the_bins(spark):
     """Random cells over 30 bins: the grouped form gives what one pass over all bins gives."""
-    import random
-
-    import pandas as pd
-
-    from geoweave.operators import incidents as inc
-    from geoweave.operators.components import cell_components
-
     rng = random.Random(5)
     cells = {(b, rng.randrange(9), rng.randrange(9)) for b in range(30) for _ in range(rng.randrange(7))}
     comps = cell_components(spark.createDataFrame(sorted(cells), "bin int, row bigint, col bigint"))
