@@ -12,6 +12,7 @@ Signatures are banded; what shares a band is compared by multiset overlap, throu
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -194,50 +195,66 @@ def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return both.filter((F.col("na") + F.col("nb") > 0) & (F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common")))).select("a", "b")
 
 
-def link_classes(members: DataFrame, bag: DataFrame, similarity: float, pairs_per_member: int = 4) -> DataFrame:
-    """(node, component) of the graph of all verified pairs that share a bucket; members(bucket, node).
+def block_links(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b) links inside buckets too large to emit their pairs; rows(bucket, n, node, component, bands, bag).
 
-    Each round every bucket compares one leader with all its members of other components. A bucket whose members are one component is done: further links in it would change
-    nothing. When the pairs left (members of different components, leaders done aside) are few, they are all compared; so no link between components is missed, and dense
-    groups never emit all pairs.
+    The members of a bucket are dealt into blocks of about `block`; a task gets two of them and compares their members of different components, each pair only in the first
+    bucket that it shares. What it has linked already it does not compare again, so it returns fewer links than members.
     """
-    labels = members.select("node").distinct().select("node", F.col("node").alias("component"))
-    open_members, edges, done = members, None, None
-    limit = pairs_per_member * members.count()
-    turn = 0
-    while True:
-        turn += 1
-        now = open_members.join(labels, "node")
-        sizes = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        buckets = cut_lineage(buckets)
-        rows = buckets.agg(F.coalesce(F.sum(F.expr("(n * n - same) div 2")), F.lit(0)).alias("pairs"), F.count(F.lit(1)).alias("n")).first()
-        if not rows["n"]:
-            break
-        last = rows["pairs"] <= limit and turn > 1
-        now = cut_lineage(now.join(F.broadcast(buckets.select("bucket")) if is_broadcastable(rows["n"], 16) else buckets.select("bucket"), "bucket", "left_semi"))
-        if last:
-            other = now.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = now.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "bucket").filter("a < b and ca <> cb")
-        else:
-            leaders = now.groupBy("bucket").agg(F.min(F.xxhash64("node", F.lit(turn))).alias("least"))
-            leader = now.select("bucket", F.col("node").alias("leader"), F.col("component").alias("cl"), F.xxhash64("node", F.lit(turn)).alias("least")).join(leaders, ["bucket", "least"]).drop("least")
-            leader = cut_lineage(leader.groupBy("bucket").agg(F.min("leader").alias("leader"), F.min_by("cl", "leader").alias("cl")))
-            pairs = now.join(leader, "bucket").filter("component <> cl").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            open_members = now.select("bucket", "node").join(leader.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        pairs = pairs.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        found = cut_lineage(verified(pairs, bag, similarity))
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            open_members = None
-        labels = cut_lineage(connected_components(edges, labels.select("node")))
-        if last:
-            break
-    return labels
+    def run(key, pdf):
+        bucket = key[0]
+        bands = np.stack(pdf["bands"].to_numpy())
+        mine, other = np.flatnonzero(pdf["own"].to_numpy() == key[1]), np.flatnonzero(pdf["own"].to_numpy() == key[2])
+        same = bands[mine][:, None, :] == bands[other][None, :, :]
+        ours = np.argmax(bands[mine] == bucket, axis=1)
+        component, sizes = pdf["component"].to_numpy(), pdf["bag"].map(len).to_numpy()
+        small, large = np.minimum(sizes[mine][:, None], sizes[other][None]), np.maximum(sizes[mine][:, None], sizes[other][None])
+        wanted = (np.argmax(same, axis=2) == ours[:, None]) & (component[mine][:, None] != component[other][None]) & (small >= similarity * large)
+        if key[1] == key[2]:
+            wanted = np.triu(wanted, 1)
+        parent, out, nodes, bag = {}, [], pdf["node"].to_numpy(), pdf["bag"].to_numpy()
+
+        def top(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+        for i, j in zip(*(x.tolist() for x in np.nonzero(wanted))):
+            i, j = mine[i], other[j]
+            a, b = top(component[i]), top(component[j])
+            if a != b:
+                common = len(np.intersect1d(bag[i], bag[j], assume_unique=True))
+                if common >= similarity * (sizes[i] + sizes[j] - common):
+                    parent[a] = b
+                    out.append((nodes[i], nodes[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.col("n") / block)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
+    return dealt.select("bucket", "lo", "hi", "own", "node", "component", "bands", "bag").groupBy("bucket", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
+
+
+def link_classes(members: DataFrame, nodes: DataFrame, bag: DataFrame, similarity: float, most_emitted: int = 32, block: int = 256) -> DataFrame:
+    """(node, component) of the graph of all verified pairs that share a bucket; members(bucket, node), nodes(node, bands), bag(node, bag).
+
+    First every bucket compares its members with one leader, which joins dense groups at a linear cost. What is left are members of different components in one bucket.
+    Buckets of up to `most_emitted` members emit those pairs, at most that many to a row; larger ones compare them block by block inside tasks. So every pair of one bucket
+    is compared or already in one component, and no group emits all its pairs.
+    """
+    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+    stars = members.join(leaders, "bucket").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = cut_lineage(verified(stars, bag, similarity))
+    labels = cut_lineage(connected_components(first, members.select("node").distinct()))
+    now = members.join(labels, "node")
+    open_buckets = cut_lineage(now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket", "n"))
+    rows = open_buckets.count()
+    now = cut_lineage(now.join(F.broadcast(open_buckets) if is_broadcastable(rows, 24) else open_buckets, "bucket"))
+    few = now.filter(F.col("n") <= most_emitted)
+    pairs = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(few.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")), "bucket")
+    pairs = pairs.filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    many = now.filter(F.col("n") > most_emitted).join(nodes.select("node", "bands"), "node").join(bag, "node")
+    found = cut_lineage(verified(pairs, bag, similarity).unionByName(block_links(many, similarity, block)))
+    return cut_lineage(connected_components(first.unionByName(found), labels.select("node")))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -258,7 +275,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted_side = F.broadcast(wanted) if is_broadcastable(rows, 96) else wanted
     own = texts.join(wanted_side, (texts["key"] == wanted_side["key"]) & texts["doc_id"].eqNullSafe(wanted_side["rep"])).select("node", "text")
     bag = cut_lineage(with_bags(own).dropDuplicates(["node"]))
-    labels = link_classes(members, bag, similarity)
+    labels = link_classes(members, nodes, bag, similarity)
     linked = nodes.select("node", "key", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = linked.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("best"))
     classes = cut_lineage(linked.join(best, "component").select("key", F.col("best.rep").alias("class_id"), F.col("best.key").alias("rep_key")))

@@ -221,8 +221,9 @@ def test_leaders_find_links_that_bypass_the_first_one(spark):
     bags = {0: range(0, 10), 1: range(1, 11), 2: range(2, 12), 3: range(3, 13), 9: range(50, 60)}
     bag_table = spark.createDataFrame([(n, list(v)) for n, v in bags.items()], "node bigint, bag array<bigint>")
     members = spark.createDataFrame([(7, n) for n in bags], "bucket bigint, node bigint")
-    for per_member in (0, 4):
-        got = {r.node: r.component for r in neardup.link_classes(members, bag_table, 0.8, per_member).collect()}
+    nodes = spark.createDataFrame([(n, [100 + n, 7]) for n in bags], "node bigint, bands array<bigint>")
+    for emitted, block in ((32, 256), (1, 256), (1, 2), (1, 1)):
+        got = {r.node: r.component for r in neardup.link_classes(members, nodes, bag_table, 0.8, emitted, block).collect()}
         assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
 
 
