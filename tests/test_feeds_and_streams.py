@@ -73,3 +73,14 @@ def test_latest_vessel_stream(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(r.mmsi, r.change, r.t) for r in runs.drain(st.latest_vessels(source, regions, late="3 hours"), "append", "test").filter(F.col("mmsi") < 3).collect()}
     assert (1, "seen", 1000.0) in got and (1, "seen", 900.0) not in got and (2, "left", 1100.0) in got
+
+
+def test_first_seen_is_renewed_by_every_sighting(spark, tmp_path):
+    """One id every 6 hours for five days, another that is silent for 30 hours once, one file per micro-batch."""
+    hours = [("steady", h) for h in range(0, 120, 6)] + [("gap", h) for h in (0, 12, 42, 48)] + [("twice", 60), ("twice", 60)]
+    for h in range(0, 120, 6):
+        rows = [(i, 1.7e9 + 3600.0 * x) for i, x in hours if h <= x < h + 6]
+        spark.createDataFrame(rows, "id string, t double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id string, t double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.id, (r.t - 1.7e9) / 3600) for r in runs.drain(st.first_seen(source), "append", "seen").collect())
+    assert got == [("gap", 0.0), ("gap", 42.0), ("steady", 0.0), ("twice", 60.0)]
