@@ -218,11 +218,22 @@ def _(v):
     return sinks.retained(v.spark.read.parquet(folder), T0 + 2592000.0).select("hex", "slot", "t")
 
 
-@query("k02_fuse_point", "v_news v_points v_firms v_posts", """select (select count(*) from v_news) as events, (select count(*) from v_news where is_conflict) as conflict, (select count(*) from v_posts) as social,
-    (select count(*) from v_points) as tracks, (select count(*) from v_points where military) as military, (select count(*) from v_verdictless) as alerts, (select count(*) from v_firms where novelty >= 0.9) as firms_new""".replace("(select count(*) from v_verdictless)", "(select count(*) from v_news where is_conflict)"))
+_HALF = "t < 1705363200"
+
+
+@query("k02_fuse_point", "v_news v_points v_firms v_posts", f"""with now as (select 'conflict' as kind, id, {_HALF} as old from v_news where is_conflict union all select 'alerts', id, {_HALF} from v_news where is_conflict
+        union all select 'social', id, {_HALF} from v_posts union all select 'firms_new', id, {_HALF} from v_firms where novelty >= 0.9 union all select 'tracks', hex, {_HALF} from v_points),
+    fresh as (select kind, id from now group by 1, 2 having not bool_or(old))
+    select (select count(*) from v_news) as events, (select count(*) from v_news where is_conflict) as conflict, (select count(*) from v_posts) as social,
+    (select count(*) from v_points) as tracks, (select count(*) from v_points where military) as military, (select count(*) from v_news where is_conflict) as alerts, (select count(*) from v_firms where novelty >= 0.9) as firms_new,
+    (select count(*) from fresh where kind = 'conflict') as d_conflict, (select count(*) from fresh where kind = 'social') as d_social, (select count(*) from fresh where kind = 'alerts') as d_alerts,
+    (select count(*) from fresh where kind = 'firms_new') as d_firms_new, (select count(*) from fresh where kind = 'tracks') as d_tracks, exists (select 1 from now where old) as primed, cast(7 as bigint) as ais""")
 def _(v):
-    p = sinks.fuse_point(T0, v.news, v.posts, v.points, v.news.filter("is_conflict"), v.firms)
-    return p.drop("t")
+    def views(keep):
+        news = v.news.filter(keep)
+        return news, v.posts.filter(keep), v.points.filter(keep), news.filter("is_conflict"), v.firms.filter(keep)
+    memory = sinks.renewed_memory(T0, sinks.sightings(*views(_HALF)), None)
+    return sinks.fuse_point(T0 + 900.0, *views("true"), seen=memory, ais=7).drop("t")
 
 
 @query("k03_snapshot_export", "v_news v_points", "select 'events' as layer, count(*) as records from v_news union all select 'tracks', count(*) from v_points")

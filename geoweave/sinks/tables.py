@@ -30,17 +30,44 @@ def append_positions(points: DataFrame, path: str) -> None:
     by_day(newest_per_slot(points)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def fuse_point(t: float, events: DataFrame, social: DataFrame, tracks: DataFrame, alerts: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """One row of levels for the history of a fuse."""
+def sightings(events: DataFrame, social: DataFrame, tracks: DataFrame, alerts: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """(kind, id) of what one fuse sees and counts as flows: conflict events, posts, alerts, new thermal detections and aircraft, once each."""
+    alert = F.col("id") if "id" in alerts.columns else F.concat_ws("|", "event_id", "aircraft_id")
+    parts = {"conflict": events.filter("is_conflict").select("id"), "social": social.select("id"), "alerts": alerts.select(alert.alias("id")),
+             "firms_new": hotspots.filter(F.col("novelty") >= 0.9).select("id"), "tracks": tracks.select(F.col("hex").alias("id"))}
+    out = None
+    for kind, ids in parts.items():
+        part = ids.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def renewed_memory(t: float, current: DataFrame, seen: DataFrame | None, keep_hours: float = 24.0) -> DataFrame:
+    """(kind, id, last_t) after a fuse at `t`: every sighting renews an id, and ids silent for longer are forgotten."""
+    now = current.select("kind", "id", F.lit(float(t)).alias("last_t"))
+    both = now if seen is None else now.unionByName(seen.select("kind", "id", "last_t"))
+    return both.groupBy("kind", "id").agg(F.max("last_t").alias("last_t")).filter(F.col("last_t") >= float(t) - keep_hours * 3600.0)
+
+
+def fuse_point(t: float, events: DataFrame, social: DataFrame, tracks: DataFrame, alerts: DataFrame, hotspots: DataFrame, seen: DataFrame | None = None,
+               ais: int | None = None) -> DataFrame:
+    """One row for the history of a fuse: levels (what is present), flows `d_*` (ids that the memory `seen` does not hold), `primed` (whether it held any) and `ais`.
+
+    `seen(kind, id, last_t)` is what `renewed_memory` returned after the fuse before; without it the point is not primed and its flows say nothing.
+    """
     def one(df: DataFrame, **wanted):
         return df.agg(*[c.cast("bigint").alias(n) for n, c in wanted.items()])
     every = F.count(F.lit(1))
     parts = [one(events, events=every, conflict=F.count_if("is_conflict")), one(social, social=every), one(tracks, tracks=every, military=F.count_if("military")),
              one(alerts, alerts=every), one(hotspots, firms_new=F.count_if(F.col("novelty") >= 0.9))]
+    current = sightings(events, social, tracks, alerts, hotspots)
+    fresh = current if seen is None else current.join(seen.select("kind", "id"), ["kind", "id"], "left_anti")
+    parts.append(one(fresh, **{f"d_{k}": F.count_if(F.col("kind") == k) for k in ("conflict", "social", "alerts", "firms_new", "tracks")}))
     row = parts[0].sparkSession.range(1).select(F.lit(float(t)).alias("t"))
     for part in parts:
         row = row.withColumns({n: part.select(n).scalar() for n in part.columns})
-    return row
+    primed = F.lit(False) if seen is None else seen.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.col("n") > 0).scalar()
+    return row.withColumns({"primed": primed, "ais": F.lit(ais).cast("bigint")})
 
 
 def append_history(point: DataFrame, path: str) -> None:

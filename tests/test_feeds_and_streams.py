@@ -84,3 +84,25 @@ def test_first_seen_is_renewed_by_every_sighting(spark, tmp_path):
     source = spark.readStream.schema("id string, t double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.id, (r.t - 1.7e9) / 3600) for r in runs.drain(st.first_seen(source), "append", "seen").collect())
     assert got == [("gap", 0.0), ("gap", 42.0), ("steady", 0.0), ("twice", 60.0)]
+
+
+def test_own_history_feeds_the_timeline(spark, tmp_path):
+    """Three fuses in a row: memory goes from one to the next, points are stored, and the timeline reads what was stored."""
+    from geoweave.operators import timeline
+    from geoweave.sinks import tables as sinks
+
+    base, memory = 1_700_006_400.0, None
+    seen_ids = [("a", "b"), ("b", "c", "d"), ("d",)]
+    none = spark.createDataFrame([], "id string, novelty double, t double")
+    for k, ids in enumerate(seen_ids):
+        events = spark.createDataFrame([(i, True) for i in ids], "id string, is_conflict boolean")
+        craft = spark.createDataFrame([(f"h{n}", n == 0) for n in range(k + 2)], "hex string, military boolean")
+        parts = (events, none.select("id"), craft, events.select("id"), none)
+        sinks.append_history(sinks.fuse_point(base + 900 * k + 10, *parts, seen=memory, ais=5 + k), str(tmp_path / "h"))
+        memory = spark.createDataFrame(sinks.renewed_memory(base + 900 * k + 10, sinks.sightings(*parts), memory).collect(), "kind string, id string, last_t double")
+    history = sinks.read_history(spark, str(tmp_path / "h"), base + 3600)
+    points = history.orderBy("t").collect()
+    assert [(p.primed, p.d_conflict, p.d_tracks, p.ais) for p in points] == [(False, 2, 2, 5), (True, 2, 1, 6), (True, 0, 1, 7)]
+    backfill = spark.createDataFrame([], "slot double, events bigint, conflict bigint, social bigint")
+    got = {r.slot: r for r in timeline.live_timeline(backfill, none.filter("t is not null"), history, base + 2700, 1.0).collect()}
+    assert [(got[base + 900 * k].alerts, got[base + 900 * k].conflict, got[base + 900 * k].tracks, got[base + 900 * k].ais) for k in range(3)] == [(0, 0, 2, 5.0), (2, 2, 3, 6.0), (0, 0, 4, 7.0)]
