@@ -86,7 +86,8 @@ def newest_per_slot(points: DataFrame, slot_s: float = BIN_S) -> DataFrame:
 
 
 def merge_days(day_tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(aircraft, points) of several days: points united, military if any day says so, other fields from the first day."""
+    """(aircraft, points) of several days: points united, military if any day says so, other fields from the first day (of
+    several values there the least, a missing one last)."""
     points = None
     for day, table in enumerate(day_tables):
         tagged = table.withColumn("_day", F.lit(day))
@@ -94,7 +95,7 @@ def merge_days(day_tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     fields = [c for c in ("reg", "ac_type", "desc", "ownop") if c in points.columns]
     craft = points.groupBy("hex").agg(
         F.bool_or("military").alias("military"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"),
-        *[F.min_by(c, "_day").alias(c) for c in fields])
+        *[F.min_by(c, F.struct("_day", F.col(c).isNull().alias("none"), c)).alias(c) for c in fields])
     return craft, points.drop("_day")
 
 
@@ -103,22 +104,27 @@ def civil_not_military(military: DataFrame, civil: DataFrame) -> DataFrame:
     return military.unionByName(civil.join(military.select("hex").distinct(), "hex", "left_anti"), allowMissingColumns=True)
 
 
-def union_first(parts: list[DataFrame], key: str = "id") -> DataFrame:
-    """Union in precedence order, first occurrence of each key kept."""
-    return _union_by(parts, key, first=True)
+def union_first(parts: list[DataFrame], key: str = "id", position: str | None = None) -> DataFrame:
+    """Union in precedence order, first occurrence of each key kept.
+
+    Inside one part the first is the one with the least `position` (a column of the parts, such as file and line); rows without one, or at one position, are
+    told apart by a hash of their content, so the choice does not depend on how Spark reads them.
+    """
+    return _union_by(parts, key, True, position)
 
 
-def union_last(parts: list[DataFrame], key: str = "id") -> DataFrame:
-    """Union in order, last occurrence of each key kept."""
-    return _union_by(parts, key, first=False)
+def union_last(parts: list[DataFrame], key: str = "id", position: str | None = None) -> DataFrame:
+    """Union in order, last occurrence of each key kept; ties as in `union_first`."""
+    return _union_by(parts, key, False, position)
 
 
-def _union_by(parts: list[DataFrame], key: str, first: bool) -> DataFrame:
+def _union_by(parts: list[DataFrame], key: str, first: bool, position: str | None) -> DataFrame:
     both = None
     for i, part in enumerate(parts):
         tagged = part.withColumn("_prec", F.lit(i))
         both = tagged if both is None else both.unionByName(tagged, allowMissingColumns=True)
     payload = [c for c in both.columns if c not in (key, "_prec")]
     pick = F.min_by if first else F.max_by
-    return (both.groupBy(key).agg(pick(F.struct(*payload), F.col("_prec")).alias("_p"))
+    rank = F.struct("_prec", *[position] * (position is not None), F.xxhash64(F.to_json(F.struct(*payload))).alias("_tie"))
+    return (both.groupBy(key).agg(pick(F.struct(*payload), rank).alias("_p"))
             .select(key, *[F.col(f"_p.{c}").alias(c) for c in payload]))

@@ -95,7 +95,7 @@ def _present(spark: SparkSession, path: str) -> bool:
 def build_dataset(layers: dict[str, DataFrame], path: str, force: bool = False, strict: bool = False) -> DataFrame:
     """Write each layer as parquet unless it exists, and return the manifest.
 
-    The checksum does not depend on row order, so it is one aggregate over the written files. A failing layer is recorded
+    The checksum, a sum of row hashes, does not depend on row order but notices repeated rows; it is one aggregate over the written files. A failing layer is recorded
     and the others still run; `strict` raises instead.
     """
     spark = next(iter(layers.values())).sparkSession
@@ -110,7 +110,8 @@ def build_dataset(layers: dict[str, DataFrame], path: str, force: bool = False,
                 df.write.mode("overwrite").parquet(target)
             stored = spark.read.parquet(target)
             files = stored.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
-            row = stored.agg(F.count(F.lit(1)).alias("records"), F.bit_xor(F.xxhash64(*stored.columns)).alias("checksum")).withColumn(
+            hashed = "xxhash64(" + ", ".join(f"`{c}`" for c in stored.columns) + ")"
+            row = stored.agg(F.count(F.lit(1)).alias("records"), F.expr(f"cast(pmod(coalesce(sum(cast({hashed} as decimal(38,0))), 0), 9223372036854775807) as bigint)").alias("checksum")).withColumn(
                 "bytes", F.coalesce(files.agg(F.sum("s").alias("s")).scalar(), F.lit(0).cast("bigint")))
         except Exception as problem:
             if strict:

@@ -106,3 +106,30 @@ def test_own_history_feeds_the_timeline(spark, tmp_path):
     backfill = spark.createDataFrame([], "slot double, events bigint, conflict bigint, social bigint")
     got = {r.slot: r for r in timeline.live_timeline(backfill, none.filter("t is not null"), history, base + 2700, 1.0).collect()}
     assert [(got[base + 900 * k].alerts, got[base + 900 * k].conflict, got[base + 900 * k].tracks, got[base + 900 * k].ais) for k in range(3)] == [(0, 0, 2, 5.0), (2, 2, 3, 6.0), (0, 0, 4, 7.0)]
+
+
+def test_vessel_stream_refuses_stale_and_future_reports(spark, tmp_path):
+    schema = "mmsi bigint, t double, lat double, lon double, name string, sog double, received double"
+    regions = spark.createDataFrame([("a", 0.0, 0.0, 60.0)], "id string, lat double, lon double, radius_nm double")
+    b = 1.7e9
+    steps = [[(1, b, 0.0, 0.1, "A", 1.0, b)], [(7, b + 9e6, 0.0, 0.1, "Z", 1.0, b + 60)], [(1, b + 120, 0.0, 0.2, "A", 1.0, b + 121), (1, b + 60, 5.0, 5.0, "A", 1.0, b + 61)], [(8, b - 9000, 0.0, 0.1, "Y", 1.0, b + 130)]]
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.mmsi, r.change, r.t - b) for r in runs.drain(st.latest_vessels(source, regions), "append", "fresh").collect()}
+    assert got == {(1, "seen", 0.0), (1, "seen", 120.0)}  # the older report outside does not remove the newer one inside
+
+
+def test_first_rows_and_checksum_are_defined(spark, tmp_path):
+    from geoweave.operators.tracks import union_first, union_last
+    from geoweave.sinks import tables as sinks
+
+    rows = [("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), ("b", 2, "w")]
+    for order in (rows, rows[::-1]):
+        part = spark.createDataFrame(order, "id string, line int, v string").repartition(3)
+        first, last = ({r.id: r.v for r in pick([part], position="line").collect()} for pick in (union_first, union_last))
+        assert first["a"] == "y" and last["a"] == "x" and (first["b"], last["b"]) in (("z", "w"), ("w", "z"))
+        ties = ties if order is not rows else (first, last)
+        assert ties == (first, last)
+    sums = [sinks.build_dataset({"t": spark.createDataFrame(r, "id string, line int, v string")}, str(tmp_path / str(i))).first().checksum for i, r in enumerate((rows, rows[::-1], rows + rows[:1] * 2, rows[:0]))]
+    assert sums[0] == sums[1] != sums[2] and sums[3] == 0
