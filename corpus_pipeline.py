@@ -1,4 +1,4 @@
-"""Corpus pipeline: clean lines, drop repeated line chunks, near copies and benchmark leaks, then pack what is left into sequences.
+"""Corpus pipeline: clean lines, drop repeated passages, near copies and benchmark leaks, then pack what is left into sequences.
 
 Every stage reads all rows its predecessor kept. All but the last return the columns of `documents`; the last returns which token range of which document goes into which bin.
 """
@@ -14,7 +14,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Texts without line chunks that stand elsewhere; a text that lost more than half of itself goes."""
+    """Texts without passages that stand elsewhere before; a text that lost more than half of itself goes."""
     return chunks.keep_novel(docs)
 
 
@@ -35,7 +35,7 @@ def best_fit_packing(spark, docs, sf_dir):
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
 
-#: Signatures, chunk hashes and packing have no SQL form; tests compare the pipeline with a brute-force version.
+#: Signatures, passages and packing have no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 

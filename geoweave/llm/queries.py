@@ -59,7 +59,7 @@ def op7_winnowing(spark, folder):
 
 @_query
 def op2_line_chunks(spark, folder):
-    left = chunks.drop_repeated_chunks(_table(spark, folder, "documents"))
+    left = chunks.drop_repeated_passages(_table(spark, folder, "documents"))
     return left.select("doc_id", "n_lines", "n_lines_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
