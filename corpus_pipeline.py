@@ -14,7 +14,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Texts without passages that stand elsewhere before; a text that lost more than half of itself goes."""
+    """Texts without passages that stand elsewhere before; a text without a word left goes."""
     return chunks.keep_novel(docs)
 
 
