@@ -43,15 +43,18 @@ def weak_spans(text: Column) -> Column:
 def linked_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
     """(key, start, end, kind, mates) of the parts (key, start, end, kind) that complete another one within `scope` code points; mates counts those.
 
-    Interval join: every part stands in the block of its start, and looks for mates in its own and the two neighbouring blocks, so a block of `scope` code points bounds what meets. Complementary
-    are identifier and secret, endpoint and secret. A part does not complete one that it overlaps.
+    Interval join: every part looks from its END for mates that start up to `scope` code points behind it, in the block of its end and the next one, and stands in the block of its start.
+    So a pair is met once, by its earlier part, however long the parts are, and a block of `scope` code points bounds what meets. Complementary are identifier and secret, endpoint and
+    secret. A part does not complete one that it overlaps.
     """
     role = F.when(F.col("kind").isin(*SECRET), "secret").when(F.col("kind").isin(*PLACE), "endpoint").otherwise("identifier")
-    own = parts.withColumn("role", role).withColumn("block", F.floor(F.col("start") / scope))
-    near = own.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    other = own.select("key", "block", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("role2"))
-    gap = F.greatest(F.col("s2") - F.col("end"), F.col("start") - F.col("e2"))
-    met = near.join(other, ["key", "block"]).filter(((F.col("role") == "secret") != (F.col("role2") == "secret")) & gap.between(0, scope))
+    own = parts.withColumn("role", role)
+    block = F.floor(F.col("end") / scope)
+    ahead = own.withColumn("block", F.explode(F.array(block, block + 1)))
+    behind = own.select("key", F.floor(F.col("start") / scope).alias("block"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("kind").alias("k2"), F.col("role").alias("role2"))
+    met = ahead.join(behind, ["key", "block"]).filter(((F.col("role") == "secret") != (F.col("role2") == "secret")) & (F.col("s2") - F.col("end")).between(0, scope))
+    sides = F.array(F.struct("start", "end", "kind"), F.struct(F.col("s2").alias("start"), F.col("e2").alias("end"), F.col("k2").alias("kind")))
+    met = met.select("key", F.explode(sides).alias("p")).select("key", "p.*")
     return met.groupBy("key", "start", "end", "kind").agg(F.count(F.lit(1)).alias("mates"))
 
 
