@@ -2,7 +2,7 @@
 
 E-mail addresses, IP addresses, card and phone numbers are protected entities. A term discloses an entity to the degree that it tells which entity is meant: by the
 pointwise mutual information of the two over the corpus, against the information content of the entity (as in C-sanitisation, Sanchez and Batet 2016). Terms beside an
-entity that disclose it beyond a threshold are generalised or removed with it.
+entity that disclose it beyond a threshold are generalised or removed with it, wherever they stand in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -54,12 +54,26 @@ def _beside(text: Column, start: Column, end: Column, reach: int) -> Column:
     return F.concat(moved(spans_of(left, TERM, "term"), begin), moved(spans_of(right, TERM, "term"), end))
 
 
+def _entity() -> Column:
+    """What a base span `s` names: addresses folded, numbers as digits."""
+    name = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(digits(F.col("s.value")))
+    return F.xxhash64(F.col("s.kind"), name)
+
+
+def disclosing_places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, start, end, kind): every place of a term that discloses an entity of the same text, however far from it; found(key, text, base), told(entity, term, kind)."""
+    here = found.select("key", F.explode("base").alias("s")).select("key", _entity().alias("entity")).distinct()
+    wanted = cut_lineage(here.join(told, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind")))
+    words = F.transform(spans_of(F.col("text"), TERM, "term"), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))
+    places = found.join(wanted.select("key").distinct(), "key", "left_semi").select("key", F.explode(words).alias("t")).select("key", "t.*")
+    return places.join(wanted, ["key", "term"]).select("key", "start", "end", "kind")
+
+
 def entity_contexts(found: DataFrame, reach: int) -> DataFrame:
     """(key, h, entity, start, end, term): every term beside every base span; found(key, h, text, base)."""
     one = found.select("key", "h", "text", F.explode("base").alias("s"))
-    name = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(digits(F.col("s.value")))
     start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
-    terms = one.select("key", "h", F.xxhash64(F.col("s.kind"), name).alias("entity"), _beside(F.col("text"), start, end, reach).alias("terms"))
+    terms = one.select("key", "h", _entity().alias("entity"), _beside(F.col("text"), start, end, reach).alias("terms"))
     return terms.select("key", "h", "entity", F.explode_outer("terms").alias("t")).select("key", "h", "entity", "t.*").filter("term is not null")
 
 
@@ -94,7 +108,7 @@ def sanitise(docs: DataFrame, reach: int = 60, generalise: float = 0.9, remove:
     texts = packed(docs).withColumn("key", document_key())
     found = cut_lineage(filtered(texts.withColumn("base", base_spans(F.col("text"))), F.size("base") > 0, [F.col("key"), F.xxhash64("text").alias("h"), F.col("text"), F.col("base")]))
     contexts = cut_lineage(entity_contexts(found.dropDuplicates(["key"]), reach))
-    terms = contexts.join(disclosures(contexts, docs, generalise, remove, min_texts), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    terms = disclosing_places(found.dropDuplicates(["key"]), cut_lineage(disclosures(contexts, docs, generalise, remove, min_texts)))
     none = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
     listed = terms.groupBy("key").agg(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind")).alias("terms"))
     spans = found.dropDuplicates(["key"]).join(listed, "key", "left").withColumn("more", F.transform(F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda t: F.struct(
