@@ -71,3 +71,31 @@ m AS (
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND lost <= 0.5 * word_chars AND 100 * n_symbols <= 10 * word_chars AND 2 * n_dup_lines <= n_lines AS kept, n_lines_removed FROM f"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII string, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), c -> [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform({steps}, x -> x::BIGINT)), "
+            "(a, x) -> CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)")
+
+
+ORACLES["op11_burst_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS b, {_crc32('CAST(c AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT h.c, t.i, t.role, t.text, false AS own FROM h JOIN t ON t.c = h.b AND t.i <= h.h
+  UNION ALL SELECT h.c, t.i, t.role, t.text, true FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+s AS (SELECT c, row_number() OVER w AS d, length(text) AS n, md5(role || chr(1) || text) AS id, string_agg(md5(role || chr(1) || text), '') OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY own, i)),
+p AS (SELECT c, d, n, path, left(path, 32 * (d - 1)) AS up FROM s UNION ALL SELECT c, 0, 0, '', NULL FROM h),
+g AS (SELECT path, any_value(up) AS up, any_value(d) AS d, any_value(n) AS n, min(c) AS c, count(*) AS k FROM p GROUP BY path),
+e AS (SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(path, d) AS path FROM p GROUP BY c) GROUP BY path),
+kids AS (SELECT up AS path, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT g.*, coalesce(kids.n, 0) AS kids FROM g LEFT JOIN kids USING (path)),
+below AS (
+  SELECT left(path, 32 * a) AS path, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((k - 1) * n) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, u.c AS parent_conv_id, f.k AS n_convs, f.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM f LEFT JOIN f u ON f.up = u.path LEFT JOIN e ON e.path = f.path JOIN below ON below.path = f.path"""

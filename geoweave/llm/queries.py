@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, chunks, neardup, packing, privacy, quality, secrets, shards, tokens, winnow
+from geoweave.llm import chat, chunks, neardup, packing, privacy, quality, secrets, shards, tokens, trie, winnow
 from geoweave.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,8 @@ def op6_linked_secrets(spark, folder):
 @_query
 def op5_disclosure(spark, folder):
     return privacy.report(privacy.sanitise(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@_query
+def op11_burst_trie(spark, folder):
+    return trie.conversation_trie(_table(spark, folder, "conversations"))
