@@ -75,9 +75,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _crc32(text: str) -> str:
     """Unsigned CRC-32 of a short ASCII string, bit by bit."""
-    steps = f"flatten(list_transform(string_split({text}, ''), c -> [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
-    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform({steps}, x -> x::BIGINT)), "
-            "(a, x) -> CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)")
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform({steps}, lambda x: x::BIGINT)), "
+            "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)")
 
 
 ORACLES["op11_burst_trie"] = f"""
