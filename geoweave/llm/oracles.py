@@ -99,3 +99,13 @@ below AS (
 SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, u.c AS parent_conv_id, f.k AS n_convs, f.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
   sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM f LEFT JOIN f u ON f.up = u.path LEFT JOIN e ON e.path = f.path JOIN below ON below.path = f.path"""
+
+
+#: The pages of the given tables keep their text in one article element; its blocks are parted by p, h1 and br tags there.
+ORACLES["op13_flat_blocks"] = """
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '\\s+', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(x, '</?(p|h1|br)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS lines FROM a),
+c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(lines, lambda l: trim(regexp_replace(
+    replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import chat, chunks, merkle, neardup, packing, privacy, quality, secrets, shards, tokens, trie, winnow
+from geoweave.llm import chat, chunks, extract, merkle, neardup, packing, privacy, quality, secrets, shards, tokens, trie, winnow
 from geoweave.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,3 +98,8 @@ def op12_merkle_manifest(spark, folder):
     docs = _table(spark, folder, "documents")
     cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.manifest(docs, merkle.leaf_digest(docs, text=cut))
+
+
+@_query
+def op13_flat_blocks(spark, folder):
+    return extract.extract_pages(_table(spark, folder, "pages"))
