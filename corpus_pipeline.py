@@ -6,6 +6,7 @@ Every stage reads all rows its predecessor kept. All but the last return the col
 from __future__ import annotations
 
 from geoweave.llm import chunks, neardup, packing, quality, winnow
+from geoweave.session import cut_lineage
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -40,7 +41,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages over `documents`. What a stage returns is written once, in the shared folder, and reread by the next, which scans it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
