@@ -28,22 +28,55 @@ def pack_summary(pack: DataFrame, regions: DataFrame) -> DataFrame:
     return out.fillna(0, subset=["total", "n_sources", *[f"n_{k}" for k in COUNTED_KINDS]])
 
 
+def _running(parts: DataFrame, keys: tuple[str, ...], **sums: str) -> DataFrame:
+    """Adds running sums (the row itself left out) over a region in key order. They are taken inside range partitions (`_part`) and lifted by the totals of the partitions before, so a
+    region with very many records is summed in parallel."""
+    totals = parts.groupBy("region_id", "_part").agg(*[F.sum(c).alias(f"_sum{i}") for i, c in enumerate(sums.values())])
+    earlier = Window.partitionBy("region_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("region_id", "_part", *[F.coalesce(F.sum(f"_sum{i}").over(earlier), F.lit(0)).alias(f"_before{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("region_id", "_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).join(totals, ["region_id", "_part"])
+    return out.withColumns({name: F.col(name) + F.col(f"_before{i}") for i, name in enumerate(sums)}).drop(*[f"_before{i}" for i in range(len(sums))])
+
+
+def _next_starts(placed: DataFrame, budget: int) -> DataFrame:
+    """(region_id, pos, next): the first record of the batch after one that starts at pos; none where the region ends before.
+
+    It is the first record that ends beyond start + budget. Ends and limits meet in blocks one budget wide: the record before it ends at most one budget lower, so in the block of the
+    limit or the one below. A block holds at most `budget` records.
+    """
+    ends = placed.select("region_id", F.floor((F.col("_start") + F.col("_size")) / budget).alias("block"), (F.col("_start") + F.col("_size")).alias("at"), "pos", F.lit(None).cast("bigint").alias("of"))
+    limits = placed.filter(F.col("_size") <= budget).select("region_id", F.floor((F.col("_start") + budget) / budget).alias("block"), (F.col("_start") + budget).alias("at"), F.lit(None).cast("bigint").alias("pos"), F.col("pos").alias("of"))
+    upto = Window.partitionBy("region_id", "block").orderBy("at", F.col("of").asc_nulls_first(), "pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.unionByName(limits).withColumn("last", F.max("pos").over(upto)).filter("of is not null")
+    below = ends.groupBy("region_id", "block").agg(F.max("pos").alias("last_below")).withColumn("block", F.col("block") + 1)
+    found = met.join(below, ["region_id", "block"], "left").select("region_id", F.col("of").alias("pos"), (F.coalesce("last", "last_below") + 1).alias("next"))
+    large = placed.filter(F.col("_size") > budget).select("region_id", "pos", (F.col("pos") + 1).alias("next"))
+    return found.unionByName(large).join(placed.select("region_id", F.col("pos").alias("next")), ["region_id", "next"], "left_semi").select("region_id", "pos", "next")
+
+
 def size_batches(pack: DataFrame, budget: int = 60_000, size: Column | None = None, keys: tuple[str, ...] = ("kind", "id")) -> DataFrame:
-    """Adds `batch`: records of a region in key order, cut where the running size passes a multiple of the budget.
+    """Adds `size` and `batch`: records of a region in key order; a batch takes records while they fit the budget, and one at least.
 
-    The running sum is taken inside range partitions and lifted by the totals of the partitions before, so a region with
-    very many records is summed in parallel. The range partitioning is written out first: both uses must see the same cut.
+    Where a batch starts depends on all batches before, so starts are found by pointer doubling: every record knows where the batch after it would start, jumps of 1, 2, 4, ... batches are
+    made by joining the table with itself, and the known starts double with each round. Rounds: the logarithm of the batches of the largest region. The range partitioning is
+    written out first: all uses must see the same cut.
     """
     size = F.length(F.to_json(F.struct(*pack.columns))) if size is None else size
-    parts = pack.withColumn("_size", size.cast("bigint")).repartitionByRange(*["region_id", *keys]).withColumn("_part", F.spark_partition_id())
-    parts = cut_lineage(parts)
-    totals = parts.groupBy("region_id", "_part").agg(F.sum("_size").alias("_sum"))
-    earlier = Window.partitionBy("region_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("region_id", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("region_id", "_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    running = parts.withColumn("_run", F.sum("_size").over(inside)).join(totals, ["region_id", "_part"])
-    start = F.col("_before") + F.col("_run") - F.col("_size")
-    return running.withColumn("batch", F.floor(start / budget)).drop("_part", "_before", "_run").withColumnRenamed("_size", "size")
+    parts = pack.withColumn("_size", size.cast("bigint")).withColumn("_one", F.lit(1).cast("bigint")).repartitionByRange(*["region_id", *keys]).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(_running(cut_lineage(parts), keys, _start="_size", pos="_one"))
+    jump = cut_lineage(_next_starts(placed, budget))
+    starts = cut_lineage(placed.filter("pos = 0").select("region_id", "pos"))
+    while True:
+        more = cut_lineage(starts.join(jump, ["region_id", "pos"]).select("region_id", F.col("next").alias("pos")))
+        if more.isEmpty():
+            break
+        starts = cut_lineage(starts.unionByName(more))
+        onward = jump.select("region_id", F.col("pos").alias("next"), F.col("next").alias("then"))
+        jump = cut_lineage(jump.join(onward, ["region_id", "next"]).select("region_id", "pos", F.col("then").alias("next")))
+    marked = placed.join(starts.withColumn("_first", F.lit(1).cast("bigint")), ["region_id", "pos"], "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    out = _running(marked.drop("_start", "_one"), keys, batch="_first").withColumn("batch", F.col("batch") + F.col("_first") - 1)
+    return out.drop("_part", "_first", "pos").withColumnRenamed("_size", "size")
 
 
 def valid_citations(findings: DataFrame, known: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from geoweave.functions.news import lookup
 from geoweave.functions.text import RECORD_FIELDS, complete_record, record_features
 from geoweave.functions.urls import source_key
 from geoweave.operators.filters import retrieval_worthy
-from geoweave.operators.joins import phrase_hits, radius_join, salted_equi_join
+from geoweave.operators.joins import balanced_join, phrase_hits, radius_join
 from geoweave.session import cut_lineage
 
 
@@ -50,6 +50,10 @@ def records_from_sources(events: DataFrame | None = None, tracks: DataFrame | No
     return out
 
 
+#: Rules between two reports.
+_NEWS_RULES = [i for i, family in enumerate(PAIR_FAMILIES) if family[0] == family[1] == "news"]
+
+
 def _with_rules(side: DataFrame, which: int) -> DataFrame:
     """A record once per rule family in which its kind takes this side."""
     group = F.when(F.col("kind").isin(*NEWS_KINDS), F.lit("news")).otherwise(F.col("kind"))
@@ -74,8 +78,8 @@ def retrieval_table(records: DataFrame) -> DataFrame:
     hits = phrase_hits(news.select("rid", "text_norm", "tokens"), phrases)
     mentions = hits.groupBy("rid").agg(F.collect_set("phrase").alias("mentions"))
     none = F.array().cast("array<string>")
-    return (full.drop("text_norm", "tokens").withColumn("source_key", source_key(F.col("kind"), F.col("id"), F.col("url"))).drop("url")
-            .join(mentions, "rid", "left").withColumn("mentions", F.coalesce("mentions", none)))
+    out = full.drop("text_norm", "tokens").withColumn("source_key", source_key(F.col("kind"), F.col("id"), F.col("url"))).drop("url")
+    return cut_lineage(out.join(mentions, "rid", "left").withColumn("mentions", F.coalesce("mentions", none)))
 
 
 def identity_hits() -> Column:
@@ -124,7 +128,9 @@ def match_pairs(pairs: DataFrame, most_overlap: int | None = None, most_named: i
     return p.withColumns({"match_type": kind, "overlap": overlap, "why": why}).drop("_ids", "_entities", "_actors", "_topics")
 
 
-_LIGHT = ["rid", "id", "kind", "t", "lat", "lon", "entities", "actors", "topics", "identities", "mentions", "source_key", "worthy", "geo_type"]
+#: What the block joins move, and what only surviving pairs are given.
+_PLACE = ["rid", "id", "kind", "t", "lat", "lon", "geo_type"]
+_WORDS = ["entities", "actors", "topics", "identities", "mentions", "source_key"]
 
 
 def _ordered() -> Column:
@@ -138,39 +144,46 @@ def candidate_pairs(table: DataFrame, **join_options) -> DataFrame:
     """All admissible pairs with tier and score, from space-time blocks and from phrases anchored in reports.
 
     Pairs that match by identity come only from the phrase side, which is not limited by distance; the block side drops
-    them, so the two sides are disjoint and need no distinct.
+    them, so the two sides are disjoint and need no distinct. Joins move places and times only; words and names are joined to the pairs that are left.
+    Two reports of one kind must share a mention, which is an equality key there, so a busy block compares only reports about the same name.
     """
-    left, right = _with_rules(table.select(*_LIGHT), 0), _with_rules(table.select(*_LIGHT), 1)
-    keep = ["rule", "radius", "span_min"]
+    def half(df: DataFrame, side: str, more: tuple[str, ...] = ()) -> DataFrame:
+        return df.select("rule", "radius", "span_min", *more, *[F.col(c).alias(f"{side}_{c}") for c in _PLACE])
 
-    def half(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*keep, *[F.col(c).alias(f"{side}_{c}") for c in _LIGHT])
+    def with_words(pairs: DataFrame) -> DataFrame:
+        for side in ("l", "r"):
+            pairs = pairs.join(table.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rid", *_WORDS)]), f"{side}_rid")
+        return pairs
 
-    near = radius_join(half(left, "l"), half(right, "r"), F.col("radius"), F.col("span_min"), on=["rule"], right_id="r_rid", **join_options)
+    worthy = table.filter("worthy")
+    left, right = _with_rules(worthy.select(*_PLACE), 0), _with_rules(worthy.select(*_PLACE), 1)
+    same_kind = (F.col("l_kind") == F.col("r_kind")) & F.col("l_kind").isin(*NEWS_KINDS)
+    apart = radius_join(half(left, "l"), half(right, "r"), F.col("radius"), F.col("span_min"), on=["rule"], right_id="r_rid", **join_options).filter(_ordered() & ~same_kind)
     # texts include a record's own names, so whatever two reports share is among the mentions of both; the rest of a
     # same-kind pair can only be bare proximity, which that kind does not admit
-    same_kind = (F.col("l_kind") == F.col("r_kind")) & F.col("l_kind").isin(*NEWS_KINDS)
-    near = near.filter(_ordered() & (~same_kind | F.arrays_overlap("l_mentions", "r_mentions")))
-    near = match_pairs(near).filter(~F.col("match_type").isin("identifier", "name"))
+    about = _with_rules(worthy.filter(F.col("kind").isin(*NEWS_KINDS)).select(*_PLACE, F.explode("mentions").alias("mention")), 0).filter(F.col("rule").isin(*_NEWS_RULES))
+    about = about.withColumn("same", F.col("kind"))
+    alike = radius_join(half(about, "l", ("mention", "same")), half(about, "r", ("mention", "same")), F.col("radius"), F.col("span_min"), on=["rule", "mention", "same"], right_id="r_rid", **join_options)
+    alike = alike.filter(_ordered()).drop("mention", "same").dropDuplicates(["l_rid", "r_rid"])
+    near = match_pairs(with_words(apart.unionByName(alike))).filter(~F.col("match_type").isin("identifier", "name"))
     centroid = ((F.col("l_kind") == "gdelt") & F.col("l_geo_type").isin(*CENTROID_TYPES)) | ((F.col("r_kind") == "gdelt") & F.col("r_geo_type").isin(*CENTROID_TYPES))
     bare = (F.col("match_type") == "proximity") & ((F.col("l_kind") == F.col("r_kind")) | F.coalesce(centroid, F.lit(False)))
     one_article = F.col("l_kind").isin(*NEWS_KINDS) & F.col("r_kind").isin(*NEWS_KINDS) & (F.col("l_source_key") == F.col("r_source_key"))
-    near = near.filter(F.col("l_worthy") & F.col("r_worthy") & ~bare & ~one_article)
+    near = near.filter(~bare & ~one_article)
 
     span = 240.0 * 60.0
-    assets = half(right.filter(F.col("kind").isin("ais", "adsb") & (F.col("span_min") == 240.0)), "r")
-    named = assets.withColumn("phrase", F.explode(F.transform("r_identities", lambda i: i["phrase"]))).withColumn("_slot", F.floor(F.col("r_t") / span))
-    reports = table.filter(F.col("kind").isin(*NEWS_KINDS)).select(*[F.col(c).alias(f"l_{c}") for c in _LIGHT])
-    told = reports.withColumn("phrase", F.explode("l_mentions"))
+    assets = _with_rules(table.filter(F.col("kind").isin("ais", "adsb")).select(*_PLACE, F.transform("identities", lambda i: i["phrase"]).alias("phrases")), 1).filter(F.col("span_min") == 240.0)
+    named = half(assets, "r", ("phrases",)).withColumn("phrase", F.explode("phrases")).drop("phrases").withColumn("_slot", F.floor(F.col("r_t") / span))
+    told = table.filter(F.col("kind").isin(*NEWS_KINDS)).select(*[F.col(c).alias(f"l_{c}") for c in _PLACE], F.explode("mentions").alias("phrase"))
     # only phrases that name an asset: a hot entity that is nobody's identity never reaches the join
     told = told.join(named.select("phrase").distinct(), "phrase", "left_semi")
     slot = F.floor(F.col("l_t") / span)
     told = told.withColumn("_slot", F.explode(F.sequence(slot - 1, slot + 1)))
-    tied = salted_equi_join(told, named, ["phrase", "_slot"], F.abs(F.col("r_t") - F.col("l_t")) <= span, F.xxhash64("r_rid"))
+    tied = balanced_join(told, named, ["phrase", "_slot"], F.abs(F.col("r_t") - F.col("l_t")) <= span, build_id=F.xxhash64("r_rid"), **join_options)
     tied = tied.drop("phrase", "_slot").dropDuplicates(["l_rid", "r_rid"])
     tied = tied.withColumn("km", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).withColumn(
         "minutes", F.abs(F.col("r_t") - F.col("l_t")) / 60.0)
-    tied = match_pairs(tied).filter(F.col("match_type").isin("identifier", "name"))
+    tied = match_pairs(with_words(tied)).filter(F.col("match_type").isin("identifier", "name"))
     radius = F.when(F.col("rule").isNotNull(), F.element_at(F.array(*[F.lit(f[2]) for f in PAIR_FAMILIES]), F.col("rule") + 1))
     minutes = F.element_at(F.array(*[F.lit(f[3]) for f in PAIR_FAMILIES]), F.col("rule") + 1)
     shared = ["rule", *[f"{s}_{c}" for s in ("l", "r") for c in ("rid", "id", "kind", "t", "lat", "lon", "source_key")], "km", "minutes", "match_type", "overlap", "why"]

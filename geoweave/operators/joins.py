@@ -1,7 +1,7 @@
 """Joins that Spark has no single operator for: space-time proximity, as-of, nearest, circles and phrases.
 
 All of them become equi-joins on block keys followed by the exact test, so the work is shuffled by block and never a
-Cartesian product. Blocks that hold an outsized share of the rows are split with salts (see `hot_blocks`).
+Cartesian product. Blocks with too many pairs to test are cut into grids (see `balanced_join`).
 """
 
 from __future__ import annotations
@@ -11,43 +11,57 @@ from pyspark.sql import functions as F
 
 from geoweave.fixed_values import EARTH_KM, KM_PER_NM
 from geoweave.functions.geo import cell_index, circle_boxes, explode_ring, haversine_km, with_cell
+from geoweave.session import cut_lineage
 
-HOT_SHARE = 1.0 / 65536.0
-HOT_MIN_ROWS = 200_000
+#: Pair tests of one block that a task may get before the block is split.
+BLOCK_WORK = 4_000_000
+BROADCAST_BYTES = 32 << 20
 
 
-def hot_blocks(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Blocks with more rows than both `min_rows` and `share` of the total, and the salts each needs.
+def block_work(probe: DataFrame, build: DataFrame, keys: list[str], work: int = BLOCK_WORK) -> DataFrame:
+    """The blocks in which probe rows x build rows exceed `work`, with the grid each is cut into: (keys, _cuts_b, _cuts_p).
 
-    Every block listed holds over `share` of the rows, so there are fewer than 1/share of them whatever the data
-    volume. That proven size is what allows the table to be broadcast.
+    The grid has about product / `work` fields. Build rows go to one of _cuts_b rows of it and are repeated along it, probe rows the other way round; the two numbers keep the
+    sum of repeated rows least, so whichever side is larger is cut more. One aggregate over the keys of both sides, counted before the shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    per_task = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return counts.filter(F.col("_n") > per_task).select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
-
-
-def salted_equi_join(probe: DataFrame, build: DataFrame, keys: list[str], condition: Column | None = None,
-                     build_id: Column | None = None, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Inner equi-join on `keys`; rows of hot build blocks are spread over salts and matching probe rows repeated."""
-    hot = hot_blocks(build, keys, share, min_rows)
-    spread = build_id if build_id is not None else F.xxhash64(*[F.col(c) for c in build.columns])
-    salted_build = (build.join(F.broadcast(hot), keys, "left")
-                    .withColumn("_salt", F.pmod(spread, F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts"))
-    salted_probe = (probe.join(F.broadcast(hot), keys, "left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
-    # a fixed partition count on both sides: rows are cheap to move here but each block costs many exact tests, so small
-    # partitions must not be merged; the join reuses this partitioning
-    tasks = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = salted_probe.repartition(tasks, *keys, "_salt").join(salted_build.repartition(tasks, *keys, "_salt"), [*keys, "_salt"])
-    return (joined.filter(condition) if condition is not None else joined).drop("_salt")
+    sides = probe.select(*keys, F.lit(1).cast("bigint").alias("_np"), F.lit(0).cast("bigint").alias("_nb")).unionByName(
+        build.select(*keys, F.lit(0).cast("bigint").alias("_np"), F.lit(1).cast("bigint").alias("_nb")))
+    counts = sides.groupBy(*keys).agg(F.sum("_np").cast("double").alias("_np"), F.sum("_nb").cast("double").alias("_nb"))
+    fields = F.ceil(F.col("_np") * F.col("_nb") / float(work))
+    best = F.greatest(F.lit(1.0), F.round(F.sqrt(fields * F.col("_nb") / F.col("_np"))))
+    cuts_b = F.least(best, fields, F.col("_nb"))
+    heavy = counts.filter(F.col("_np") * F.col("_nb") > float(work)).withColumn("_cuts_b", cuts_b.cast("int"))
+    return heavy.select(*keys, "_cuts_b", F.least(F.ceil(fields / F.col("_cuts_b")), F.col("_np")).cast("int").alias("_cuts_p"))
+
+
+def balanced_join(probe: DataFrame, build: DataFrame, keys: list[str], condition: Column | None = None, *, probe_id: Column | None = None,
+                  build_id: Column | None = None, work: int = BLOCK_WORK) -> DataFrame:
+    """Inner equi-join on `keys` in which no block gives a task more than about `work` pairs to test, whichever side is frequent.
+
+    Blocks within the bound are joined as they are. The others become grids (`block_work`), so a block is spread even if its other side has one row. Each side is read twice: for the
+    keys and for the join. The table of heavy blocks is written, counted, and broadcast only while it is small; beyond that it is joined by shuffle. Partition numbers are left to the
+    adaptive planner.
+    """
+    heavy = cut_lineage(block_work(probe, build, keys, work))
+    n = heavy.count()
+    if n == 0:
+        joined = probe.join(build, keys)
+        return joined.filter(condition) if condition is not None else joined
+    grid = F.broadcast(heavy) if n * (16 * len(keys) + 8) <= BROADCAST_BYTES else heavy
+
+    def dealt(df: DataFrame, row_id: Column | None, own: str, other: str) -> DataFrame:
+        spread = row_id if row_id is not None else F.xxhash64(*[F.col(c) for c in df.columns])
+        cut = df.join(grid, keys, "left").withColumn(f"_{own}", F.pmod(spread, F.coalesce(F.col(f"_cuts_{own}"), F.lit(1))).cast("int"))
+        return cut.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_cuts_{other}"), F.lit(1)) - 1))).drop("_cuts_b", "_cuts_p")
+
+    joined = dealt(probe, probe_id, "p", "b").join(dealt(build, build_id, "b", "p"), [*keys, "_b", "_p"])
+    return (joined.filter(condition) if condition is not None else joined).drop("_b", "_p")
 
 
 # ---- space x time --------------------------------------------------------------------------------
 
 def near_join(left: DataFrame, right: DataFrame, radius_km: float, window_min: float, *, right_id: str = "r_id",
-              share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+              work: int = BLOCK_WORK) -> DataFrame:
     """Pairs in neighbouring one-degree cells within a radius and a time span.
 
     Needs l_lat, l_lon, l_t and r_lat, r_lon, r_t. The 3x3 neighbourhood is part of the rule: far from the equator it is
@@ -60,8 +74,8 @@ def near_join(left: DataFrame, right: DataFrame, radius_km: float, window_min: f
     slot = F.floor(F.col("l_t") / span)
     probe = probe.withColumn("_slot", F.explode(F.sequence(slot - 1, slot + 1)))
     build = with_cell(right, "r_lat", "r_lon", row="_r", col="_c").withColumn("_slot", F.floor(F.col("r_t") / span))
-    pairs = salted_equi_join(probe, build, ["_r", "_c", "_slot"], F.abs(F.col("r_t") - F.col("l_t")) <= span,
-                             F.xxhash64(F.col(right_id), F.col("r_t")), share, min_rows)
+    pairs = balanced_join(probe, build, ["_r", "_c", "_slot"], F.abs(F.col("r_t") - F.col("l_t")) <= span,
+                          build_id=F.xxhash64(F.col(right_id), F.col("r_t")), work=work)
     pairs = pairs.withColumn("km", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     return (pairs.filter(F.col("km") <= F.lit(float(radius_km)))
             .withColumn("minutes", F.abs(F.col("r_t") - F.col("l_t")) / 60.0).drop("_r", "_c", "_slot"))
@@ -101,8 +115,7 @@ def radius_blocks(lat: Column, lon: Column, radius_km: Column) -> Column:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_km: Column | float, window_min: Column | float | None = None, *,
-                on: list[str] | None = None, right_id: str = "r_id", share: float = HOT_SHARE,
-                min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                on: list[str] | None = None, right_id: str = "r_id", work: int = BLOCK_WORK) -> DataFrame:
     """Exact pairs within a radius (and a time span), wrapping in longitude and valid at the poles.
 
     `on` names further equality keys present on both sides; radius and span may be columns that these keys determine.
@@ -124,7 +137,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: Column | float, wi
         condition = F.abs(F.col("r_t") - F.col("l_t")) <= F.col("_span")
     probe = probe.withColumn("_radius", radius)
     shared = [c for c in build.columns if c in probe.columns and c not in keys]
-    pairs = salted_equi_join(probe, build.drop(*shared), keys, condition, F.xxhash64(F.col(right_id)), share, min_rows)
+    pairs = balanced_join(probe, build.drop(*shared), keys, condition, build_id=F.xxhash64(F.col(right_id)), work=work)
     pairs = pairs.withColumn("km", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     pairs = pairs.filter(F.col("km") <= F.col("_radius"))
     if window_min is not None:

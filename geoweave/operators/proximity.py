@@ -9,7 +9,7 @@ from geoweave.functions.aircraft import aircraft_weight, alert_reason
 from geoweave.functions.geo import round_to, with_cell
 from geoweave.functions.news import event_severity, root_label
 from geoweave.operators.filters import severe_enough
-from geoweave.operators.joins import HOT_MIN_ROWS, HOT_SHARE, near_join, radius_join, sided
+from geoweave.operators.joins import BLOCK_WORK, near_join, radius_join, sided
 
 
 def with_severity(events: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def with_severity(events: DataFrame) -> DataFrame:
 
 
 def near_pairs(events: DataFrame, tracks: DataFrame, radius_km: float = 75.0, window_min: float = 180.0, min_severity: float = 0.35,
-               exact: bool = False, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+               exact: bool = False, work: int = BLOCK_WORK) -> DataFrame:
     """Scored event-aircraft pairs. `exact=True` drops the 3x3 cell limit and wraps at the date line."""
     severe = with_severity(events).filter(severe_enough(min_severity))
     label = F.coalesce("root_label", root_label(F.col("root_code"))) if "root_label" in events.columns else root_label(F.col("root_code"))
@@ -27,7 +27,7 @@ def near_pairs(events: DataFrame, tracks: DataFrame, radius_km: float = 75.0, wi
     right = tracks.select(F.concat(F.lit("adsb:"), "hex").alias("aircraft_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"),
                           F.col("t").alias("r_t"), "military", "alt_ft", weight.alias("weight"))
     join = radius_join if exact else near_join
-    pairs = join(left, right, radius_km, window_min, right_id="aircraft_id", share=share, min_rows=min_rows)
+    pairs = join(left, right, radius_km, window_min, right_id="aircraft_id", work=work)
     score = (F.lit(1.0) - F.col("km") / F.lit(float(radius_km))) * F.col("severity") * F.col("weight")
     return pairs.select("event_id", "aircraft_id", round_to(score, 3).alias("score"), round_to(F.col("km"), 1).alias("distance_km"),
                         round_to(F.col("minutes"), 1).alias("dt_min"), F.col("l_lat").alias("lat"), F.col("l_lon").alias("lon"),

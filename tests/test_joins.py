@@ -27,20 +27,35 @@ def test_radius_join_on_the_whole_sphere_with_hot_block(spark):
     l = spark.createDataFrame(left, "l_id string, l_lat double, l_lon double, l_t double")
     r = spark.createDataFrame(right, "r_id string, r_lat double, r_lon double, r_t double")
     want = {(a[0], b[0]) for a in left for b in right if km(a[1], a[2], b[1], b[2]) <= 80 and abs(a[3] - b[3]) <= 1800}
-    for options in ({}, {"share": 0.01, "min_rows": 5}):
+    for options in ({}, {"work": 40}):
         got = [tuple(x) for x in joins.radius_join(l, r, 80.0, 30.0, **options).select("l_id", "r_id").collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
-def test_near_join_salting_changes_nothing(spark):
+def test_near_join_grids_change_nothing(spark):
     rng = random.Random(4)
     l = spark.createDataFrame([(f"e{i}", 26 + rng.random(), 56 + rng.random(), rng.uniform(0, 9000)) for i in range(60)], "l_id string, l_lat double, l_lon double, l_t double")
     r = spark.createDataFrame([(f"a{i}", 26 + rng.random(), 56 + rng.random(), rng.uniform(0, 9000)) for i in range(200)], "r_id string, r_lat double, r_lon double, r_t double")
     plain = sorted(map(tuple, joins.near_join(l, r, 40, 60).select("l_id", "r_id").collect()))
-    salted = sorted(map(tuple, joins.near_join(l, r, 40, 60, share=0.001, min_rows=3).select("l_id", "r_id").collect()))
-    assert plain == salted and plain
-    hot = joins.hot_blocks(r.withColumn("k", F.lit(1)), ["k"], share=0.001, min_rows=3).first()
-    assert hot["_salts"] == math.ceil(200 / 3)
+    for work in (50, 1000):
+        assert sorted(map(tuple, joins.near_join(l, r, 40, 60, work=work).select("l_id", "r_id").collect())) == plain and plain
+
+
+def test_hot_blocks_become_grids_on_either_side(spark):
+    """A block with a hot probe side, one with a hot build side, one with both: no grid field tests more than about the bound."""
+    sizes = {"probe": (3000, 2), "build": (1, 4000), "both": (300, 400), "cool": (20, 30)}
+    p = spark.createDataFrame([(k, i) for k, (n, _) in sizes.items() for i in range(n)], "k string, p int")
+    b = spark.createDataFrame([(k, i) for k, (_, n) in sizes.items() for i in range(n)], "k string, b int")
+    grid = {r.k: (r._cuts_p, r._cuts_b) for r in joins.block_work(p, b, ["k"], 1000).collect()}
+    assert set(grid) == {"probe", "build", "both"} and grid["probe"][0] > 1 and grid["probe"][1] <= 2 and grid["build"] == (1, 4)
+    for k, (cuts_p, cuts_b) in grid.items():
+        n, m = sizes[k]
+        assert math.ceil(n / cuts_p) * math.ceil(m / cuts_b) <= 1.5 * 1000
+    # repeated rows stay few: about the square root of the fields on each side where both are large
+    n, m = sizes["both"]
+    assert n * grid["both"][1] + m * grid["both"][0] <= 2.2 * math.sqrt(120 * n * m)
+    got = joins.balanced_join(p, b, ["k"], work=1000)
+    assert got.count() == sum(n * m for n, m in sizes.values()) == got.distinct().count()
 
 
 def test_carry_forward_over_segments(spark):
@@ -79,13 +94,17 @@ def test_components_against_union_find(spark):
 
 
 def test_batches_break_at_the_budget(spark):
-    rows = [("r", "k", f"{i:04d}", "x" * (i % 7)) for i in range(200)]
+    rng = random.Random(8)
+    rows = [(r, "k", f"{i:04d}", "x" * rng.choice([0, 3, 9, 20, 47, 48, 90])) for r, n in (("r", 400), ("s", 1), ("t", 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "region_id string, kind string, id string, body string")
-    got = {r.id: (r.batch, r["size"]) for r in aoi.size_batches(df, 50, F.length("body") + 3).collect()}
-    before = 0
-    for _, _, i, body in sorted(rows):
-        assert got[i] == (before // 50, len(body) + 3)
-        before += len(body) + 3
+    got = {(r.region_id, r.id): (r.batch, r["size"]) for r in aoi.size_batches(df, 50, F.length("body") + 3).collect()}
+    at = {}
+    for region, _, i, body in sorted(rows):
+        batch, used = at.get(region, (0, 0))
+        n = len(body) + 3
+        at[region] = (batch + 1, n) if used and used + n > 50 else (batch, used + n)
+        assert got[region, i] == (at[region][0], n)
+    assert aoi.size_batches(df.limit(0), 50, F.length("body") + 3).count() == 0
 
 
 def test_co_located_pairs_next_five(spark):
