@@ -125,7 +125,7 @@ def _(v):
     return aoi.pack_summary(_pack(v), v.regions).select("region_id", "total", "n_gdelt", "n_telegram", "n_ais", "t_first", "t_last", "n_sources")
 
 
-@query("a26_size_batches", _AOI, f"""with recursive {_PACK}, sized as (select region_id, kind, id, length(src) + 20 as n, row_number() over (partition by region_id order by kind, id) as i from pack),
+@query("a26_size_batches", _AOI, f"""with {_PACK}, sized as (select region_id, kind, id, length(src) + 20 as n, row_number() over (partition by region_id order by kind, id) as i from pack),
     walk as (select region_id, i, n as used, cast(0 as bigint) as batch from sized where i = 1 union all
         select s.region_id, s.i, case when w.used + s.n > 2000 then s.n else w.used + s.n end, case when w.used + s.n > 2000 then w.batch + 1 else w.batch end
         from walk w join sized s on s.region_id = w.region_id and s.i = w.i + 1)
