@@ -4,12 +4,12 @@ import random
 import statistics
 import zlib
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from geoweave.operators import baseline as bl
 from geoweave.operators import incidents as inc
 from geoweave.operators.components import cell_components
+from geoweave.operators.matching import first_come
 from geoweave.plans.analysis import Analysis
 
 START, DAYS, BINS = 1_700_006_400.0, 3, 72  # a UTC midnight
@@ -92,14 +92,67 @@ def test_analysis_joins_streams_to_one_incident(spark):
     assert a.ranked.filter("bin = 54").count() > 0
 
 
+def touch(a, b):
+    return any(abs(x["row"] - y["row"]) <= 1 and abs(x["col"] - y["col"]) <= 1 for x in a for y in b)
+
+
+def by_turns(takers, things, touches):
+    """{taker: thing}: takers in order, each the first thing in order that it touches and that is free."""
+    got = {}
+    for a in takers:
+        got.update({a: x for x in [next((x for x in things if x not in got.values() and touches(a, x)), None)] if x is not None})
+    return got
+
+
 def test_tracking_equals_walking_the_bins(spark):
-    """Random cells over 30 bins: the grouped form gives what one pass over all bins gives."""
+    """Random cells over 30 bins: matching all bins at once gives what one pass over the bins gives."""
     rng = random.Random(5)
     cells = {(b, rng.randrange(9), rng.randrange(9)) for b in range(30) for _ in range(rng.randrange(7))}
     comps = cell_components(spark.createDataFrame(sorted(cells), "bin int, row bigint, col bigint"))
     rows = comps.groupBy("component", "bin").agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("cells"), (F.max("row") % 2 == 0).alias("persistent"))
     window = bl.BinWindow(0, 30 * 3600 - 1)
-    got = sorted(map(tuple, inc.track_incidents(rows, window).select("incident", "component", "bin", "state").collect()))
-    whole = pd.DataFrame([{"component": r.component, "bin": r.bin, "cells": [c.asDict() for c in r.cells], "persistent": r.persistent} for r in rows.collect()])
-    want = sorted((r.incident, r.component, r.bin, r.state) for r in inc._follow(whole).itertuples() if r.bin < 30)
-    assert got == want and len(got) > 40
+    got = sorted(map(tuple, inc.track_incidents(rows, window).select("incident", "component", "bin", "state", "first_bin").collect()))
+    known = {r.component: r for r in rows.collect()}
+    of = {b: sorted(c for c, r in known.items() if r.bin == b) for b in range(-2, 31)}
+    meets = lambda a, x: touch(known[a].cells, known[x].cells)
+    quiet = {b: [c for c in of[b] if not any(meets(d, c) for d in of[b + 1])] for b in range(-2, 30)}
+    came, want = {}, []
+    for b in range(30):
+        came.update(by_turns(of[b], of[b - 1] + quiet[b - 2], meets))
+        first = lambda c: first(came[c]) if c in came else c
+        want += [(first(c), c, b, "persistent" if c in came and known[c].persistent else "new_change", known[first(c)].bin) for c in of[b]]
+        want += [(first(c), c, b, "recovering", known[first(c)].bin) for c in quiet[b - 1]]
+    assert got == sorted(want) and len(got) > 40 and len({g[0] for g in got}) < len(known)
+
+
+def test_durable_ids_feed_themselves(spark):
+    """Six rebuilds, each on the result of the last, against turns taken in plain Python."""
+    rng = random.Random(9)
+    shape = "incident_id string, component bigint, state string, cells array<struct<row:bigint,col:bigint>>, first_t double, revisions array<struct<t:double,added:array<string>,gone:array<string>,n_cells:int,leading:string>>"
+    store, mine, high = spark.createDataFrame([], inc.STORED), [], 0
+    for run in range(6):
+        now = 7200.0 * run if run < 5 else 7200.0 * 4 + 6.5 * 3600
+        rows = [(f"i{run}-{k}", k, rng.choice(["new_change", "recovering"]), [{"row": rng.randrange(8), "col": rng.randrange(8)} for _ in range(2)], now - 3600.0 * (k % 3),
+                 [(now - 3600.0 * (k % 3), ["news"], [], 2, None)]) for k in range(7)]
+        store = inc.durable_ids(spark.createDataFrame(rows, shape), store, now, most_revisions=3)
+        turns = sorted(rows, key=lambda r: (r[2] == "recovering", r[1]))
+        recent = [m for m in mine if now - m["last"] <= 6 * 3600]
+        got = by_turns(range(len(turns)), range(len(recent)), lambda a, x: touch(turns[a][3], recent[x]["cells"]))
+        fresh = []
+        for k, r in enumerate(turns):
+            old = recent[got[k]] if k in got else None
+            high += old is None
+            fresh.append({"i": r[0], "id": old["id"] if old else f"incident:{high:04d}", "cells": r[3], "first": min(r[4], old["first"]) if old else r[4], "last": now,
+                          "rev": ([x for x in old["rev"] if x < r[5][0][0]] if old else [])[-2:] + [r[5][0][0]]})
+        mine = fresh + [{**m, "i": None} for k, m in enumerate(recent) if k not in got.values()]
+        out = sorted(store.collect(), key=lambda r: r.place)
+        assert [(r.incident_id, r.durable_id, r.first_t, r.last_t, [x.t for x in r.revisions]) for r in out] == [(m["i"], m["id"], m["first"], m["last"], m["rev"]) for m in mine]
+        store = spark.createDataFrame(store.drop("incident_id").collect(), inc.STORED)
+
+
+def test_turns_in_one_crowded_group(spark):
+    rng = random.Random(2)
+    offers = sorted({(a, x) for a in range(120) for x in rng.sample(range(100), rng.randrange(1, 12))})
+    got = dict(map(tuple, first_come(spark.createDataFrame([(a, x, (x * 37) % 100) for a, x in offers], "taker int, taken int, rank int")).collect()))
+    want = by_turns(range(120), sorted(range(100), key=lambda x: (x * 37) % 100), lambda a, x: (a, x) in set(offers))
+    assert got == want and len(got) > 80
