@@ -8,6 +8,7 @@ from checks.baseline import COUNTS, DEPARTED, GRID, KEYS, REFS, STATS, VIEWS, WI
 from checks.registry import query
 from checks.text import cell, rnd
 from checks.views import T0
+from geoweave.fixed_values import EXPLANATIONS, STREAMS
 from geoweave.operators import incidents as inc
 from geoweave.plans.analysis import Analysis
 
@@ -82,6 +83,8 @@ _PREDS = """templates(tpl, pos, prediction) as (values (0, 0, 'departed:navint')
         left join words w on w.component = g.component left join prior p on p.component = g.component left join drops d on d.component = g.component),
     told as (select component, tpl, count(*) filter (where status = 'supported') as s, count(*) filter (where status = 'contradicted') as c, count(*) as n, count(*) filter (where status = 'untested' and not quiet) = 0 as ok from tested group by 1, 2),
     placed_ as (select *, row_number() over (partition by component order by ok desc, s - 2 * c desc, s / cast(n as double) desc, c, tpl) as place from told)"""
+_TITLE = "case tpl " + " ".join(f"when {i} then '{e[1]}'" for i, e in enumerate(EXPLANATIONS)) + " end"
+_STREAM_ORDER = "case stream " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(STREAMS)) + " end"
 FULL = f"{CHAIN}, {COMPONENTS}, {RING}, {_SPOKEN}, {_PRIOR}, {_DROP}, {_PREDS}"
 
 
@@ -155,28 +158,77 @@ def _(v):
     return inc.most_reported_place(components_of(v), events_of(v), WINDOW)
 
 
-@query("i05_incident_tracks", VIEWS)
+def _turns(name: str, takers: str, offers: str) -> str:
+    """CTEs that let takers(grp, k, taker) choose in order of k from offers(taker, thing, o): {name}(grp, k, taker, got)."""
+    return f"""{name}_l as (select t.grp, t.k, t.taker, coalesce(l.things, []) as things from {takers} t left join (select taker, list(thing order by o) as things from {offers} group by taker) l on l.taker = t.taker),
+    {name}_r as (select grp, k, taker, things[1] as got, case when len(things) > 0 then [things[1]] else [] end as used from {name}_l where k = 1
+        union all select l.grp, l.k, l.taker, list_filter(l.things, lambda x: not list_contains(r.used, x))[1], list_concat(r.used, list_filter(l.things, lambda x: not list_contains(r.used, x))[1:1])
+        from {name}_r r join {name}_l l on l.grp = r.grp and l.k = r.k + 1),
+    {name} as (select grp, k, taker, got from {name}_r)"""
+
+
+TRACKED = f"""{CHAIN}, {COMPONENTS}, {RING}, cs as (select component, bin, list([row, col] order by row, col) as cells from comps group by 1, 2),
+    touch1 as (select distinct a.component as a, b.component as b from comps a join comps b on b.bin = a.bin + 1 and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+    quiet as (select component, bin from cs where component not in (select a from touch1)),
+    touch2 as (select distinct a.component as a, b.component as b from quiet q join comps a on a.component = q.component join comps b on b.bin = a.bin + 2 and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+    asks as (select b as taker, a as thing, a as o from touch1 union all select b, a, a + 1000000000000 from touch2),
+    order_ as (select bin as grp, row_number() over (partition by bin order by component) as k, component as taker from cs),
+    {_turns('took', 'order_', 'asks')},
+    chain as (select taker as component, taker as incident, grp as first_bin from took where got is null union all select t.taker, c.incident, c.first_bin from chain c join took t on t.got = c.component),
+    pers as (select component, bool_or(state = 'persistent') as p from bests group by 1),
+    tracked as (select c.incident, c.first_bin, t.taker as component, t.grp as bin, case when t.got is not null and p.p then 'persistent' else 'new_change' end as state from took t join chain c on c.component = t.taker left join pers p on p.component = t.taker
+        union all select c.incident, c.first_bin, q.component, q.bin + 1, 'recovering' from quiet q join chain c using (component) where q.bin + 1 < {WINDOW.n}),
+    gone_ as (select component, list(stream order by {_STREAM_ORDER}) as dep from st where departed group by 1),
+    inc_ as (select 'incident:' || t.incident as incident_id, t.*, s.cells, coalesce(g.dep, []) as dep from tracked t join cs s using (component) left join gone_ g using (component))"""
+REVISED = f"""lead_ as (select component, {_TITLE} as title from placed_ where place = 1),
+    lagged as (select i.*, lag(dep) over w as dep0, lag(cells) over w as cells0, l.title from inc_ i left join lead_ l using (component) window w as (partition by incident_id order by bin)),
+    steps as (select *, case when state = 'recovering' then [] when dep0 is null then dep else list_filter(dep, lambda x: not list_contains(dep0, x)) end as added,
+        case when state = 'recovering' then dep when dep0 is null then [] else list_filter(dep0, lambda x: not list_contains(dep, x)) end as lost from lagged),
+    revised as (select incident_id, bin, added, lost, len(cells) as n_cells, case when state <> 'recovering' then title end as lead_title from steps
+        where dep0 is null or state = 'recovering' or len(added) > 0 or len(lost) > 0 or cells <> cells0)"""
+_AT = f"cast({T0} + 3600 * bin as double)"
+_WITH_TITLES = TRACKED.replace(RING, f"{RING}, {_SPOKEN}, {_PRIOR}, {_DROP}, {_PREDS}")
+
+
+@query("i05_incident_tracks", VIEWS, f"{TRACKED} select incident_id, component, bin, state, cast({T0} + 3600 * first_bin as double) as first_t, {_AT} as last_t from inc_")
 def _(v):
     return analysis_of(v).incidents.select("incident_id", "component", "bin", "state", "first_t", "last_t")
 
 
-@query("i06_revisions", VIEWS)
+@query("i06_revisions", VIEWS, f"{_WITH_TITLES}, {REVISED} select incident_id, {_AT} as t, array_to_string(added, ',') as added, array_to_string(lost, ',') as gone, cast(n_cells as int) as n_cells, lead_title as \"leading\" from revised")
 def _(v):
     return analysis_of(v).revisions.select("incident_id", "t", F.array_join("added", ",").alias("added"), F.array_join("gone", ",").alias("gone"), "n_cells", "leading")
 
 
-@query("u03_stream_changes", VIEWS)
+@query("u03_stream_changes", VIEWS, f"{_WITH_TITLES}, {REVISED} select {_AT} as t, cast(sum(len(added)) as bigint) as n_added, cast(sum(len(lost)) as bigint) as n_gone from revised group by bin")
 def _(v):
     return analysis_of(v).revisions.groupBy("t").agg(F.sum(F.size("added")).alias("n_added"), F.sum(F.size("gone")).alias("n_gone"))
 
 
-@query("i07_durable_ids", VIEWS)
+_NEAR = "exists (select 1 from unnest(a.cells) x(c), unnest(b.cells) y(c) where abs(x.c[1] - y.c[1]) <= 1 and abs(x.c[2] - y.c[2]) <= 1)"
+
+
+@query("i07_durable_ids", VIEWS, f"""{_WITH_TITLES}, {REVISED}, final as (select max(bin) as bin from inc_),
+    was as (select i.*, row_number() over (order by state = 'recovering', component) as k from inc_ i, final f where i.bin = f.bin - 1),
+    now_ as (select i.*, row_number() over (order by state = 'recovering', component) as k from inc_ i, final f where i.bin = f.bin),
+    asks2 as (select a.k as taker, b.k as thing, b.k as o from now_ a, was b where {_NEAR}), order2 as (select 0 as grp, k, k as taker from now_), {_turns('claim', 'order2', 'asks2')},
+    fresh as (select taker, row_number() over (order by taker) + (select count(*) from was) as id from claim where got is null),
+    hist as (select a.k, count(*) filter (where r.bin <= a.bin) as n, min(r.bin) as b0 from now_ a join revised r using (incident_id) group by 1),
+    hist0 as (select b.k, r.bin from was b join revised r on r.incident_id = b.incident_id and r.bin <= b.bin),
+    out_ as (select a.incident_id, coalesce(c.got, f.id) as id, a.k as place, a.cells, least(a.first_bin, coalesce(b.first_bin, a.first_bin)) as first_bin, a.bin,
+        coalesce(h.n, 0) + (select count(*) from hist0 o where o.k = c.got and o.bin < coalesce(h.b0, a.bin + 2)) as n
+        from now_ a join claim c on c.taker = a.k left join fresh f on f.taker = a.k left join was b on b.k = c.got left join hist h on h.k = a.k
+        union all select null, b.k, (select count(*) from now_) + row_number() over (order by b.k), b.cells, b.first_bin, b.bin, (select count(*) from hist0 o where o.k = b.k) from was b where b.k not in (select got from claim where got is not null))
+    select incident_id, 'incident:' || lpad(cast(id as varchar), 4, '0') as durable_id, cast(place as bigint) as place, cast({T0} + 3600 * first_bin as double) as first_t, cast({T0} + 3600 * (bin + 1) + 10 as double) as last_t,
+        cast(len(cells) as int) as n_cells, cast(n as int) as n_revisions from out_""")
 def _(v):
+    """Two rebuilds, one bin apart: the second goes on from what the first stored."""
     a = analysis_of(v)
     last = _last_instant(a)
-    earlier = inc.incidents_at(a.incidents, WINDOW, last - 3600)
-    stored = earlier.select(F.concat(F.lit("durable:"), "incident_id").alias("durable_id"), "cells", "first_t", "last_t")
-    return inc.durable_ids(inc.incidents_at(a.incidents, WINDOW, last), stored, last)
+    store = v.spark.createDataFrame([], inc.STORED)
+    for t in (last - WINDOW.step, last):
+        store = a.durable(t, store)
+    return store.select("incident_id", "durable_id", "place", "first_t", "last_t", F.size("cells").alias("n_cells"), F.size("revisions").alias("n_revisions"))
 
 
 def _last_instant(a) -> float:
@@ -194,7 +246,7 @@ def _(v):
     return analysis_of(v).assessments.select("component", "headline", "question", "next_source")
 
 
-@query("l03_incident_order", VIEWS)
+@query("l03_incident_order", VIEWS, f"{TRACKED} select incident_id, bin, state, cast(len(dep) as int) as n from inc_")
 def _(v):
     a = analysis_of(v)
     return inc.display_order(a.incidents).select("incident_id", "bin", "state", F.size("departed").alias("n"))

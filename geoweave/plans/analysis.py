@@ -93,6 +93,11 @@ class Analysis:
         told = self.assessments.select("component", "established", "headline", "question", "adequately_supported")
         return inc.display_order(now.join(told, "component", "left"))
 
+    def durable(self, t: float, stored: DataFrame) -> DataFrame:
+        """The store of durable incidents after the rebuild at `t`, from the store before it; the last 24 revisions of each stay."""
+        now = inc.with_revisions(inc.incidents_at(self.incidents, self.window, t), inc.revisions(self.incidents, t))
+        return inc.durable_ids(now, stored, t, most_revisions=24)
+
     def departures(self, t: float) -> DataFrame:
         observed = self.series.filter(F.exists("vals", lambda v: v > 0) | F.exists("cov", lambda v: v > 0)).select("row", "col").distinct()
         return bl.departures_at(self.scores.join(observed, ["row", "col"], "left_semi"), self.window, t)
