@@ -61,6 +61,13 @@ def is_broadcastable(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) ->
     return rows * row_bytes <= limit_bytes
 
 
+def with_copies(df: DataFrame, count: str, block: int = 1 << 14) -> DataFrame:
+    """Each row `count` times with `copy` from 0, unfolded block by block, so that no array is longer than `block` however often a row repeats."""
+    df = df.withColumn("copy_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count) - 1) / block))))
+    copies = F.sequence(F.col("copy_block") * block, F.least(F.col(count), (F.col("copy_block") + 1) * block) - 1)
+    return df.withColumn("copy", F.explode(copies)).drop("copy_block", count)
+
+
 def spans_of(text: Column, pattern: str, kind: str, guard: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, kind, value>>, in code points, end exclusive.
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import text_of
+from geoweave.llm.common import text_of, with_copies
 from geoweave.session import cut_lineage
 
 SCHEMA = "bin_id string, slot int, doc_id bigint, piece int, start bigint, length bigint, source string, cluster bigint"
@@ -72,7 +72,7 @@ def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 4096) -> Data
     items = cut_lineage(items.groupBy("doc_id", "source", "cluster", "length").agg(F.count(F.lit(1)).alias("copies")))
     total = items.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_rows))
-    rows = items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
+    rows = with_copies(items, "copies")
     keys = ["doc_id", "source", "cluster", "length", "copy"]
     rows = rows.withColumn("id", F.lower(F.hex(F.xxhash64(*keys))))
     whole = (F.col("length") / capacity).cast("bigint")

@@ -1,8 +1,8 @@
 """Personal data and information-theoretic sanitisation.
 
 E-mail addresses, IP addresses, card and phone numbers are protected entities. A term discloses an entity to the degree that it tells which entity is meant: by the
-pointwise mutual information of the two over the corpus, against the information content of the entity (as in C-sanitisation, Sanchez and Batet 2016). Terms beside an
-entity that disclose it beyond a threshold are generalised or removed with it, wherever they stand in a text that holds the entity.
+pointwise mutual information of the two over the texts of the corpus, against the information content of the entity (as in C-sanitisation, Sanchez and Batet 2016). Terms of a text
+that disclose one of its entities beyond a threshold are generalised or removed with it, wherever they stand in the text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-
 IP = "(?:\\G|(?<![0-9]))[0-9]++(?:\\.[0-9]++){3}"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-TERM = "(?<![\\p{L}\\p{N}])\\p{L}{4,}+(?![\\p{L}\\p{N}])"
+TERM = "[\\p{L}\\p{N}]++"
 
 
 def digits(value: Column) -> Column:
@@ -43,17 +43,6 @@ def base_spans(text: Column) -> Column:
                     cards, F.filter(spans_of(text, PHONE, "phone", text.contains("+")), lambda s: n(s).between(9, 15)))
 
 
-def _beside(text: Column, start: Column, end: Column, reach: int) -> Column:
-    """Spans of the terms that stand whole within `reach` code points of [start, end), on both sides."""
-    begin = F.greatest(start - reach, F.lit(0))
-    left = F.concat(F.when(begin > 0, F.lit("x")).otherwise(F.lit(" ")), F.substring(text, begin + 1, start - begin), F.lit(" "))
-    right = F.concat(F.lit(" "), F.substring(text, end + 1, F.lit(reach)), F.when(end + reach < F.length(text), F.lit("x")).otherwise(F.lit(" ")))
-
-    def moved(spans, by):
-        return F.transform(spans, lambda s: F.struct((s["start"] + by - 1).alias("start"), (s["end"] + by - 1).alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))
-    return F.concat(moved(spans_of(left, TERM, "term"), begin), moved(spans_of(right, TERM, "term"), end))
-
-
 def _entity() -> Column:
     """What a base span `s` names: addresses folded, numbers as digits."""
     name = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(digits(F.col("s.value")))
@@ -69,46 +58,48 @@ def disclosing_places(found: DataFrame, told: DataFrame) -> DataFrame:
     return places.join(wanted, ["key", "term"]).select("key", "start", "end", "kind")
 
 
-def entity_contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(key, h, entity, start, end, term): every term beside every base span; found(key, h, text, base)."""
-    one = found.select("key", "h", "text", F.explode("base").alias("s"))
-    start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
-    terms = one.select("key", "h", _entity().alias("entity"), _beside(F.col("text"), start, end, reach).alias("terms"))
-    return terms.select("key", "h", "entity", F.explode_outer("terms").alias("t")).select("key", "h", "entity", "t.*").filter("term is not null")
-
+def text_terms(texts: DataFrame) -> DataFrame:
+    """(h, term) of (h, text): the distinct terms of each text, as hashes of their lower-case forms."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    return texts.select("h", F.explode_outer(words).alias("term")).filter("term is not null")
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n) over all occurrences of all texts; partial sums before the shuffle, hashes instead of words."""
-    words = F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0))
-    return docs.select(F.explode_outer(words).alias("w")).filter("w is not null").groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
-
-def disclosures(contexts: DataFrame, docs: DataFrame, generalise: float, remove: float, min_texts: int) -> DataFrame:
+def disclosures(found: DataFrame, texts: DataFrame, generalise: float, remove: float, discount: float) -> DataFrame:
     """(entity, term, kind): terms whose mutual information with an entity is at least `generalise` times the entity's information content; from `remove` times on they go.
 
-    With n_ct joint occurrences, n_t of the term, n_c of the entity's terms and N of all terms: PMI = log(n_ct N / (n_c n_t)), IC = log(N / n_c); so PMI / IC is 1 where the term
-    occurs beside the entity only. Pairs seen in fewer than `min_texts` different texts are no evidence.
+    found(h, text, base) are the texts that hold entities, texts(h, text) all texts, each once. With n_ct texts that hold both, n_c the entity, n_t the term, of N:
+    PMI = log((n_ct - discount) N / (n_c n_t)), IC = log(N / n_c). So PMI / IC nears 1 where the term stands with the entity only. The discount is a bound on what little evidence says: by it a
+    term seen with an entity in one text reaches `generalise`, but not `remove`. A term in many other texts cannot reach the threshold; it is left out before pairs are made, by a bound
+    that follows from n_ct <= n_c, so a long text pairs its entities with its rare terms only.
     """
-    joint = cut_lineage(contexts.groupBy("entity", "term", "h").agg(F.count_distinct("key", "start").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")))
-    per_entity = joint.groupBy("entity").agg(F.sum("n_ct").alias("n_c"))
-    counts = cut_lineage(term_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    measured = joint.filter(F.col("texts") >= min_texts).join(per_entity, "entity").join(counts, "term")
-    content = F.log(F.lit(float(total)) / F.col("n_c"))
-    told = content + F.log(F.col("n_ct") / F.col("n"))
-    return measured.filter((content > 0) & (told >= generalise * content)).select("entity", "term", F.when(told >= remove * content, "removed").otherwise("general").alias("kind"))
-
-
-def sanitise(docs: DataFrame, reach: int = 60, generalise: float = 0.9, remove: float = 0.97, min_texts: int = 2) -> DataFrame:
+    here = cut_lineage(found.select("h", F.explode("base").alias("s")).select("h", _entity().alias("entity")).distinct())
+    counts = text_terms(texts).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = float(texts.count())
+    per_entity = here.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    owners = cut_lineage(here.join(per_entity, "entity"))
+    rarest = (F.col("n_c") - discount) * F.pow(F.lit(max(total, 1.0)) / F.col("n_c"), F.lit(1.0 - generalise))
+    reach = owners.groupBy("h").agg(F.max(rarest).alias("most"))
+    mine = cut_lineage(text_terms(found).join(reach, "h"))
+    wanted = mine.select("term").distinct()
+    rare = mine.join(counts.join(wanted, "term", "left_semi"), "term").filter(F.col("n_t") <= F.col("most") * (1 + 1e-9)).select("h", "term", "n_t")
+    joint = owners.join(rare, "h").filter(F.col("n_t") <= rarest * (1 + 1e-9)).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    content = F.log(F.lit(total) / F.col("n_c"))
+    told = content + F.log((F.col("n_ct") - discount) / F.col("n_t"))
+    kept = joint.filter((content > 0) & (F.col("n_ct") > discount) & (told >= generalise * content))
+    return kept.select("entity", "term", F.when(told >= remove * content, "removed").otherwise("general").alias("kind"))
+
+
+def sanitise(docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, discount: float = 0.5) -> DataFrame:
     """The rows of `docs` with `base` and `spans` (arrays of start, end, kind, value) and the `sanitised` text.
 
-    In it base spans read [EMAIL], [IP], [CARD], [PHONE], terms to generalise [NAME] or [WORD], and terms to remove nothing. Of overlapping spans the earliest, then the longest counts.
-    Null and empty texts have no spans, texts without an entity none either; repeated rows are alike.
+    In it base spans read [EMAIL], [IP], [CARD], [PHONE], terms to generalise [NAME] or [WORD], and terms to remove nothing. Of overlapping spans the earliest, then the longest counts. A
+    term is a run of letters and digits. Copies of a text are one text for the counts. Null and empty texts have no spans, texts without an entity none either; repeated rows are alike.
     """
     texts = packed(docs).withColumn("key", document_key())
     found = cut_lineage(filtered(texts.withColumn("base", base_spans(F.col("text"))), F.size("base") > 0, [F.col("key"), F.xxhash64("text").alias("h"), F.col("text"), F.col("base")]))
-    contexts = cut_lineage(entity_contexts(found.dropDuplicates(["key"]), reach))
-    terms = disclosing_places(found.dropDuplicates(["key"]), cut_lineage(disclosures(contexts, docs, generalise, remove, min_texts)))
+    once = texts.select(F.xxhash64("text").alias("h"), "text").groupBy("h").agg(F.first("text").alias("text"))
+    told = cut_lineage(disclosures(found.dropDuplicates(["h"]), once, generalise, remove, discount))
+    terms = disclosing_places(found.dropDuplicates(["key"]), told)
     none = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
     listed = terms.groupBy("key").agg(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind")).alias("terms"))
     spans = found.dropDuplicates(["key"]).join(listed, "key", "left").withColumn("more", F.transform(F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda t: F.struct(

@@ -9,17 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import packed, text_of, unpacked
+from geoweave.llm.common import is_broadcastable, packed, text_of, unpacked, with_copies
 from geoweave.session import cut_lineage
 
 BITS = 4
 
 
-def text_number(value: Column) -> Column:
-    """The first seven UTF-8 bytes of a string as a number, in the order of the strings; null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
-
-
 def hilbert_place(cell: tuple[int, ...], bits: int = BITS) -> int:
     """Place of a grid cell on the Hilbert curve, after Skilling, "Programming the Hilbert curve" (2004)."""
     x = list(cell)
@@ -61,6 +56,24 @@ def quantised(df: DataFrame, dimensions: list[str], bits: int = BITS) -> list[Co
     return [sum((F.coalesce(F.col(d) > F.lit(c), F.lit(False)).cast("int") for c in cuts[d] or []), F.lit(0)) for d in dimensions]
 
 
+def with_ranks(items: DataFrame, names: list[str]) -> DataFrame:
+    """`items` with each string column of `names` replaced by the rank of its value among the distinct values, in the order of their UTF-8 bytes; null stays null.
+
+    Whole strings are compared. Values are counted before the shuffle, sorted over range partitions, and numbered inside a partition from the number of values in those before.
+    """
+    for name in names:
+        values = items.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("s_n"))
+        parts = cut_lineage(values.repartitionByRange(name).withColumn("s_part", F.spark_partition_id()))
+        held = parts.groupBy("s_part").agg(F.count(F.lit(1)).alias("s_held"))
+        before = held.select("s_part", F.coalesce(F.sum("s_held").over(Window.orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s_before"))
+        inside = F.row_number().over(Window.partitionBy("s_part").orderBy(name))
+        ranks = cut_lineage(parts.withColumn("s_in", inside).join(F.broadcast(before), "s_part").select(F.col(name).alias("s_value"), (F.col("s_in") + F.col("s_before")).cast("bigint").alias("s_rank")))
+        size = ranks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("s_value")), F.lit(0))).first()
+        side = F.broadcast(ranks) if is_broadcastable(size[0] * 48 + size[1], 1) else ranks
+        items = items.join(side, F.col(name) == F.col("s_value"), "left").withColumn(name, F.col("s_rank")).drop("s_value", "s_rank")
+    return items
+
+
 def assign_shards(items: DataFrame, dimensions: list[str], shards: int = 24, most_buckets: int = 1 << 16) -> DataFrame:
     """The rows of `items` (light columns only: keys and numeric dimensions) with h, shard and slot.
 
@@ -68,6 +81,8 @@ def assign_shards(items: DataFrame, dimensions: list[str], shards: int = 24, mos
     parallel. Equal rows are counted before the shuffle and numbered together. Counts of shards differ by one at most, slots run from 0.
     The table of bucket counts has at most 4096 + `most_buckets` rows for three dimensions; it alone is summed in one task.
     """
+    if (1 << BITS * len(dimensions)) + most_buckets > 1 << 20:
+        raise ValueError("the bucket counts are summed in one task and broadcast: at most a million of them")
     items = cut_lineage(items)
     keys = items.columns
     placed = items.withColumn("h", hilbert_index(quantised(items, dimensions)))
@@ -81,17 +96,18 @@ def assign_shards(items: DataFrame, dimensions: list[str], shards: int = 24, mos
     offsets = counts.select("h", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("h", "bucket").orderBy("tie", *keys).rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("first", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(offsets), ["h", "bucket"])
-    ranked = ranked.select(*keys, "h", F.posexplode(F.sequence(F.col("offset") + F.col("first"), F.col("offset") + F.col("first") + F.col("copies") - 1)).alias("copy", "rank"))
+    ranked = with_copies(ranked, "copies").select(*keys, "h", (F.col("offset") + F.col("first") + F.col("copy")).alias("rank"))
     shard = F.expr(f"cast((cast(rank as decimal(20,0)) * {shards}) div {max(total, 1)} as int)")
     first = F.expr(f"(cast(shard as decimal(20,0)) * {total} + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).drop("rank")
 
 
 def document_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, crc, source, lang) as numbers; columns that are missing count as null. size: UTF-8 bytes plus 8."""
+    """(doc_id, size, crc, source, lang) as numbers, source and language as ranks; columns that are missing count as null. size: UTF-8 bytes plus 8."""
     def dimension(name: str) -> Column:
-        return (text_number(F.col(name).cast("string")) if name in docs.columns else F.lit(None).cast("bigint")).alias(name)
-    return docs.select(F.col("doc_id"), (F.octet_length(text_of()) + 8).cast("bigint").alias("size"), F.crc32(text_of()).alias("crc"), dimension("source"), dimension("lang"))
+        return (F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")).alias(name)
+    items = docs.select(F.col("doc_id"), (F.octet_length(text_of()) + 8).cast("bigint").alias("size"), F.crc32(text_of()).alias("crc"), dimension("source"), dimension("lang"))
+    return with_ranks(cut_lineage(items), ["source", "lang"])
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -216,9 +216,9 @@ def test_shards_follow_the_law(spark, messy, nothing):
 
 
 def test_written_shards_prune(spark, tmp_path):
-    rows = [(i, "x" * (1 + i % 97), f"s{i % 16:02d}") for i in range(2000)]
+    rows = [(i, "x" * (1 + i % 97), f"https:/site{i % 16:02d}") for i in range(2000)]
     shards.write_shards(documents(spark, rows), str(tmp_path / "out"), 16)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((i, t) for i, t, _ in rows)
     boxes = back.groupBy("shard").agg(F.min("source"), F.max("source"), F.min(F.length("text")), F.max(F.length("text"))).collect()
-    assert len(boxes) == 16 and sum(b[1] <= "s03" <= b[2] and b[3] <= 40 <= b[4] for b in boxes) <= 5
+    assert len(boxes) == 16 and sum(b[1] <= "https:/site03" <= b[2] and b[3] <= 40 <= b[4] for b in boxes) <= 5

@@ -1,6 +1,7 @@
 """Row-wise operators: quality rules, chat formatting, token counts, secrets, personal data."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -163,23 +164,30 @@ def test_disclosing_terms(spark):
     got = {x.doc_id: x for x in privacy.sanitise(documents(spark, rows)).collect()}
     assert all("Zelmira" not in got[i].sanitised and "[EMAIL]" in got[i].sanitised and "window" in got[i].text for i in range(8))
     assert all(not got[50 + i].spans and got[50 + i].sanitised == got[50 + i].text for i in range(60))
-    # brute force of the measure
-    words = lambda t: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])", t)]
-    total, joint, n_c, texts, spots = {}, {}, 0, {}, {}
+    # brute force of the measure, over the distinct texts
+    entity = lambda t: {m.group().lower() for m in re.finditer(PII[0][1], t)}
+    terms = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    texts = {t for _, t, _ in rows}
     for i, t, _ in rows:
-        e = re.search(r"zel@host\.example", t)
-        for s, x, w in words(t):
-            total[w] = total.get(w, 0) + 1
-            if e and ((x <= e.start() and s >= e.start() - 60) or (s >= e.end() and x <= e.end() + 60)):
-                joint[w] = joint.get(w, 0) + 1
-                texts.setdefault(w, set()).add(t)
-                spots.setdefault(i, []).append((s, w))
-                n_c += 1
-    import math
-    n = sum(total.values())
-    hit = {w for w in joint if len(texts[w]) > 1 and math.log(joint[w] * n / (n_c * total[w])) >= 0.9 * math.log(n / n_c)}
-    for i in range(8):
-        assert sorted(s.start for s in got[i].spans if s.kind in ("general", "removed")) == sorted(s for s, w in spots[i] if w in hit)
+        want = set()
+        for e in entity(t):
+            n_c = sum(e in entity(x) for x in texts)
+            for w in terms(t):
+                n_t, n_ct = sum(w in terms(x) for x in texts), sum(w in terms(x) and e in entity(x) for x in texts)
+                ratio = math.log((n_ct - 0.5) * len(texts) / (n_c * n_t)) / math.log(len(texts) / n_c)
+                if ratio >= 0.9:
+                    want.add((w, "removed" if ratio >= 0.97 else "general"))
+        base = [(s.start, s.end) for s in got[i].base]
+        outside = {m.group().lower() for m in re.finditer(r"[^\W_]+", t) if not any(m.start() < y and x < m.end() for x, y in base)}
+        assert {(s.value.lower(), s.kind) for s in got[i].spans if s.kind in ("general", "removed")} == {(w, k) for w, k in want if w in outside}
+
+
+def test_single_texts_generalise_their_own_terms(spark):
+    """An entity of one text among over a thousand: a word found only there is generalised, short ones and ones with digits too, words of other texts stay."""
+    common = "river stone green after window market of a"
+    rows = [(i, f"{common} {common}", "a") for i in range(3)] + [(9, f"{common} Qx7 met Ildiko at ildi@host.example", "a")] + [(20 + i, f"{common} word{i}", "a") for i in range(1200)]
+    got = {x.doc_id: x for x in privacy.sanitise(documents(spark, rows)).collect()}
+    assert got[9].sanitised == f"{common} [NAME] [WORD] [NAME] [WORD] [EMAIL]" and all(not got[i].spans for i in got if i != 9)
 
 
 def test_secret_base_spans(spark, messy, nothing):
