@@ -168,35 +168,34 @@ def reference_slices(window: BinWindow, i: str = "i", vals: str = "vals") -> str
     return (f"flatten(transform(sequence(0, cast({i} div {pd} AS int)), d -> CASE WHEN d < {i} div {pd} THEN {earlier} ELSE {today} END))")
 
 
-def reference_arrays(series: DataFrame, window: BinWindow) -> DataFrame:
-    """Adds `refs`: per bin the sorted non-null values of the earlier bins it is compared with.
+def _middle(array: str) -> str:
+    return f"({array}[cast((size({array}) - 1) div 2 AS int)] + {array}[cast(size({array}) div 2 AS int)]) / 2D"
 
-    Same hour +/-2 on every earlier day and 2-3 hours earlier the same day, never across a day edge and never later.
-    """
-    refs = f"transform(sequence(0, {window.n - 1}), i -> sort_array(filter({reference_slices(window)}, v -> v IS NOT NULL)))"
-    return staged(series, refs=F.expr(refs))
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of `body` in which `name` stands for `value`, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def _middle(array: str) -> str:
-    return f"({array}[cast((size({array}) - 1) div 2 AS int)] + {array}[cast(size({array}) div 2 AS int)]) / 2D"
 
+def with_reference_stats(series: DataFrame, window: BinWindow) -> DataFrame:
+    """Adds `stats`: per bin the number, median and scaled median absolute deviation of the earlier values it is compared with.
 
-def _medians(s: DataFrame) -> DataFrame:
-    """Adds per bin the reference size, median and scaled median absolute deviation."""
-    s = staged(s, sizes=F.expr("transform(refs, r -> size(r))"),
-               meds=F.expr(f"transform(refs, r -> CASE WHEN size(r) >= {MIN_REFERENCE} THEN {_middle('r')} END)"))
-    s = staged(s, devs=F.expr("transform(refs, (r, i) -> sort_array(transform(r, v -> abs(v - meds[i]))))")).drop("refs")
-    return staged(s, mads=F.expr(f"transform(devs, r -> CASE WHEN size(r) >= {MIN_REFERENCE} THEN ({_middle('r')}) * {MAD_SCALE}D END)")).drop("devs")
+    Same hour +/-2 on every earlier day and 2-3 hours earlier the same day, never across a day edge and never later; nulls are left out. The list of a bin is made, sorted and read
+    inside one step and then dropped, and its deviations too, so a series holds one list at a time however many bins it has.
+    """
+    spread = _let("q", "sort_array(transform(r, v -> abs(v - m)))", f"({_middle('q')}) * {MAD_SCALE}D")
+    told = f"CASE WHEN size(r) >= {MIN_REFERENCE} THEN {_let('m', _middle('r'), f'named_struct({chr(39)}n{chr(39)}, size(r), {chr(39)}med{chr(39)}, m, {chr(39)}mad{chr(39)}, {spread})')} ELSE named_struct('n', size(r), 'med', cast(NULL AS double), 'mad', cast(NULL AS double)) END"
+    refs = f"sort_array(filter({reference_slices(window)}, v -> v IS NOT NULL))"
+    return staged(series, stats=F.expr(f"transform(sequence(0, {window.n - 1}), i -> {_let('r', refs, told)})"))
 
 
 def robust_scores(series: DataFrame, window: BinWindow, keys: tuple[str, ...] = ("stream", "row", "col"),
                   z_threshold: float = Z_THRESHOLD, persistent_bins: int = PERSISTENT_BINS) -> DataFrame:
     """Robust z and state of every bin of every series."""
-    s = reference_arrays(series, window)
-    s = _medians(s)
-    rows = s.select(*keys, F.posexplode(F.arrays_zip("vals", "cov", "meds", "mads", "sizes")).alias("bin", "_s"))
+    s = with_reference_stats(series, window)
+    rows = s.select(*keys, F.posexplode(F.arrays_zip("vals", "cov", "stats")).alias("bin", "_s"))
     rows = rows.select(*keys, "bin", F.col("_s.vals").alias("raw_value"), F.col("_s.cov").alias("coverage"),
-                       F.col("_s.meds").alias("med"), F.col("_s.mads").alias("mad"), F.col("_s.sizes").alias("reference_n"))
+                       F.col("_s.stats.med").alias("med"), F.col("_s.stats.mad").alias("mad"), F.col("_s.stats.n").alias("reference_n"))
     navint = F.col("stream") == "navint"
     scale = F.when(navint, F.greatest("mad", F.lit(NAVINT_SCALE_FLOOR))).otherwise(F.greatest("mad", F.sqrt(F.col("med") + 1.0)))
     rows = rows.withColumn("raw_scale", scale).withColumn("raw_z", (F.col("raw_value") - F.col("med")) / F.col("raw_scale"))
@@ -243,9 +242,8 @@ def departed_cells(scores: DataFrame, expected=EXPECTED_COOCCURRENCE) -> DataFra
 
 def total_z(keys: DataFrame, window: BinWindow, track_span: tuple[float, float] | None = None) -> DataFrame:
     """(stream, bin, z) of the totals over all cells; null while the reference is too small."""
-    s = reference_arrays(total_series(keys, window, track_span), window)
-    s = _medians(s)
-    rows = s.select("stream", F.posexplode(F.arrays_zip("vals", "meds", "mads")).alias("bin", "_s"))
+    s = with_reference_stats(total_series(keys, window, track_span), window)
+    rows = s.select("stream", F.posexplode(F.arrays_zip("vals", "stats")).alias("bin", "_s")).select("stream", "bin", F.struct("_s.vals", F.col("_s.stats.med").alias("meds"), F.col("_s.stats.mad").alias("mads")).alias("_s"))
     floor = F.when(F.col("stream") == "navint", F.lit(NAVINT_SCALE_FLOOR)).otherwise(F.sqrt(F.col("_s.meds") + 1.0))
     z = (F.col("_s.vals") - F.col("_s.meds")) / F.greatest(F.col("_s.mads"), F.when(F.col("_s.meds").isNotNull(), floor))
     return rows.select("stream", "bin", F.col("_s.vals").alias("value"), round_to(z, 2).alias("z"))
@@ -271,4 +269,4 @@ def baseline_scores(window: BinWindow, events: DataFrame | None = None, points:
 
 
 __all__ = ["BinWindow", "COUNT_STREAMS", "baseline_scores", "departed_cells", "departures_at", "dense_series", "is_departed",
-           "reference_arrays", "reference_pairs", "robust_scores", "stream_counts", "stream_keys", "total_series", "total_z"]
+           "reference_pairs", "robust_scores", "stream_counts", "stream_keys", "total_series", "total_z", "with_reference_stats"]
