@@ -116,8 +116,9 @@ def _(v):
     select stream, row, col, g.bin, count(r) as n, {rnd('coalesce(sum(r), 0)', 4)} as total from (select g.stream, g.row, g.col, g.bin, x.v as r
         from grid g left join offsets o on o.bin = g.bin left join grid x on x.stream = g.stream and x.row = g.row and x.col = g.col and x.bin = o.ref) g group by all""")
 def _(v):
-    s = bl.reference_arrays(bl.dense_series(counts_of(v), WINDOW), WINDOW)
-    rows = s.select("stream", "row", "col", F.posexplode("refs").alias("bin", "r"))
+    bins = F.explode(F.sequence(F.lit(0), F.lit(WINDOW.n - 1))).alias("bin")
+    rows = bl.dense_series(counts_of(v), WINDOW).select("stream", "row", "col", "vals", bins)
+    rows = rows.withColumn("r", F.filter(F.expr(bl.reference_slices(WINDOW, "bin")), lambda x: x.isNotNull()))
     total = F.aggregate("r", F.lit(0.0), lambda a, x: a + x)
     return rows.select("stream", "row", "col", "bin", F.size("r").cast("bigint").alias("n"), round_to(total, 4).alias("total"))
 

@@ -224,11 +224,6 @@ _COMP = """e{n} as (select a, b from {src} union select b, a from {src}),
     comp{n} as (select node, min(label) as component from reach{n} group by node)"""
 
 
-@query("g03_clusters_of_records", "v_verdicts")
-def _(v):
-    return verdicts.cluster_members(verdicts.best_per_pair(_sparse(v)))
-
-
 def _sparse(v):
     """The same verdicts with records spread wider, so that components stay apart."""
     return v.verdicts.withColumns({"left_id": F.concat(F.lit("gdelt:"), (F.col("id") * 7 % 90001).cast("string")),
@@ -239,6 +234,25 @@ _SPARSE = """sparse as (select id, concat('gdelt:', id * 7 % 90001) as left_id,
     bests as (select * from (select *, row_number() over (partition by left_id, right_id order by verdict = 'SUPPORTED' desc, evidence_strength desc, created_at desc) as rn from sparse where verdict in ('SUPPORTED', 'PLAUSIBLE')) where rn = 1)"""
 
 
+_MEMBERS = _COMP.format(n="1", src="(select left_id as a, right_id as b from bests)")
+_SOURCES = """links as (select distinct a, b from (select 'record:' || left_id as a, left_group as b from sparse union all select 'record:' || right_id, right_group from sparse) where b is not null),
+    shared_ as (select distinct x.b as a, y.b as b from links x join links y on x.a = y.a),
+    reach2 as (select a as node, a as label from shared_ union select g.b, r.label from reach2 r join shared_ g on g.a = r.node where r.label < g.b),
+    groups_ as (select node, min(label) as c from reach2 group by node), placed2 as (select l.a, l.b, g.c from links l join groups_ g on g.node = l.b),
+    named2 as (select c, least(min(a), min(b)) as source from placed2 group by c),
+    sources as (select distinct substring(p.a, 8) as record_id, n.source from placed2 p join named2 n using (c))"""
+
+
+@query("g03_clusters_of_records", "v_verdicts", f"with {_SPARSE}, {_MEMBERS} select node, component from comp1")
+def _(v):
+    return verdicts.cluster_members(verdicts.best_per_pair(_sparse(v)))
+
+
+@query("g04_sources_of_records", "v_verdicts", f"with {_SPARSE}, {_SOURCES} select record_id, source from sources")
+def _(v):
+    return verdicts.provenance(_sparse(v))
+
+
 @query("g04_provenance", "v_verdicts", f"""with {_SPARSE}, links as (select distinct a, b from (select 'record:' || left_id as a, left_group as b from sparse union all select 'record:' || right_id, right_group from sparse)),
     sizes as (select b, count(*) as n from links group by b) select count(distinct a) as n_records, count(distinct b) as n_groups from links""")
 def _(v):
@@ -248,7 +262,15 @@ def _(v):
     return p.agg(F.count_distinct("record_id").alias("n_records")).withColumn("n_groups", groups.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-@query("a28_cluster_scores", "v_verdicts")
+@query("a28_cluster_scores", "v_verdicts", f"""with {_SPARSE}, {_MEMBERS}, {_SOURCES},
+    linked as (select m.component, b.*, coalesce(x.source, 'record:' || b.left_id) as ls, coalesce(y.source, 'record:' || b.right_id) as rs from bests b join comp1 m on m.node = b.left_id
+        left join sources x on x.record_id = b.left_id left join sources y on y.record_id = b.right_id),
+    by_source as (select component, least(ls, rs) as p, greatest(ls, rs) as q, max(evidence_strength) as s from linked group by 1, 2, 3),
+    strength as (select component, coalesce(avg(s) filter (where p <> q), avg(s)) as strength, count(*) filter (where p <> q) as n from by_source group by 1),
+    kinds as (select distinct component, node, kind from (select left_id as node, left_kind as kind from bests union all select right_id, right_kind from bests) join comp1 using (node)),
+    size_ as (select component, count(distinct node) as n_records, count(distinct coalesce(source, 'record:' || node)) as n_sources, count(distinct kind) as modalities from kinds left join sources on record_id = node group by 1),
+    review as (select component, bool_or(verdict = 'PLAUSIBLE') as needs_review from linked group by 1)
+    select component, {rnd('least(1.0e0, 0.18e0 * modalities + 0.55e0 * strength + 0.05e0 * least(n, 4))', 3)} as score, n_records, n_sources, needs_review from size_ join strength using (component) join review using (component)""")
 def _(v):
     return verdicts.clusters(_sparse(v)).select("component", "score", "n_records", "n_sources", "needs_review")
 
