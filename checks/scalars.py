@@ -335,8 +335,10 @@ def _(v):
     with last_seen as (select hex, arg_max(lat, t) as la, arg_max(lon, t) as lo, count(*) as n from v_points group by hex)
     select hex, n from last_seen where la between 24.5 and 27 and lo between 54.5 and 57""")
 def _(v):
-    from geoweave.operators.tracks import tails
-    return filters.tails_in_view(tails(v.points, at_least=1), (54.5, 24.5, 57.0, 27.0)).select("hex", F.size("coords").cast("bigint").alias("n"))
+    from geoweave.operators.tracks import tail_ends, tails
+    ends = filters.tails_in_view(tail_ends(v.points, 0, 4e9, at_least=1), (54.5, 24.5, 57.0, 27.0))
+    paths = tails(v.points, 0, 4e9, at_least=1, ends=ends)
+    return ends.join(paths, "hex").filter(F.size("coords") == F.col("n_points")).select("hex", F.col("n_points").alias("n"))
 
 
 @query("p03_in_circles", "obs v_regions", f"""select event_id from obs o where exists (select 1 from v_regions r

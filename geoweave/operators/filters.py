@@ -19,10 +19,9 @@ def in_view(records: DataFrame, box: tuple[float, float, float, float] | None =
     return (out.orderBy(*order) if order else out).limit(limit)
 
 
-def tails_in_view(tails: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Paths whose last position is in the view."""
-    last = F.try_element_at("coords", F.lit(-1))
-    return tails.filter(in_box(last["lat"], last["lon"], *box))
+def tails_in_view(ends: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Tails whose last position is in the view: rows of `tail_ends`, before any path is collected."""
+    return ends.filter(in_box(F.col("lat"), F.col("lon"), *box))
 
 
 def day_loader(events: DataFrame, bbox: tuple[float, float, float, float] = GULF_BBOX, keywords: tuple[str, ...] = (),

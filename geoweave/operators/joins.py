@@ -6,7 +6,7 @@ Cartesian product. Blocks with too many pairs to test are cut into grids (see `b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.fixed_values import EARTH_KM, KM_PER_NM
@@ -51,11 +51,11 @@ def balanced_join(probe: DataFrame, build: DataFrame, keys: list[str], condition
 
     def dealt(df: DataFrame, row_id: Column | None, own: str, other: str) -> DataFrame:
         spread = row_id if row_id is not None else F.xxhash64(*[F.col(c) for c in df.columns])
-        cut = df.join(grid, keys, "left").withColumn(f"_{own}", F.pmod(spread, F.coalesce(F.col(f"_cuts_{own}"), F.lit(1))).cast("int"))
-        return cut.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_cuts_{other}"), F.lit(1)) - 1))).drop("_cuts_b", "_cuts_p")
+        cut = df.join(grid, keys, "left").withColumn(f"_grid_{own}", F.pmod(spread, F.coalesce(F.col(f"_cuts_{own}"), F.lit(1))).cast("int"))
+        return cut.withColumn(f"_grid_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_cuts_{other}"), F.lit(1)) - 1))).drop("_cuts_b", "_cuts_p")
 
-    joined = dealt(probe, probe_id, "p", "b").join(dealt(build, build_id, "b", "p"), [*keys, "_b", "_p"])
-    return (joined.filter(condition) if condition is not None else joined).drop("_b", "_p")
+    joined = dealt(probe, probe_id, "p", "b").join(dealt(build, build_id, "b", "p"), [*keys, "_grid_b", "_grid_p"])
+    return (joined.filter(condition) if condition is not None else joined).drop("_grid_b", "_grid_p")
 
 
 # ---- space x time --------------------------------------------------------------------------------
@@ -194,15 +194,26 @@ def asof_snapshot(points: DataFrame, t: float, max_age_s: float = 300.0) -> Data
     return fresh.groupBy("hex").agg(best.alias("_p")).select("hex", *[F.col(f"_p.{c}").alias(c) for c in payload])
 
 
-def asof_snapshots(points: DataFrame, instants: DataFrame, max_age_s: float = 300.0) -> DataFrame:
-    """`asof_snapshot` for a table of instants (`at`): time slots are the join key, then a partial `max_by`."""
-    slot = F.floor(F.col("at") / max_age_s)
-    probe = instants.withColumn("_slot", F.explode(F.sequence(slot - 1, slot)))
-    pairs = points.withColumn("_slot", F.floor(F.col("t") / max_age_s)).join(probe, "_slot")
-    pairs = pairs.filter((F.col("t") <= F.col("at")) & (F.col("t") >= F.col("at") - max_age_s))
+def asof_snapshots(points: DataFrame, instants: DataFrame, max_age_s: float = 300.0, work: int = BLOCK_WORK) -> DataFrame:
+    """`asof_snapshot` for a table of instants (`at`).
+
+    A point counts from its time until the next point of its aircraft, or until it is too old. The next point comes from a window over (aircraft, time segment) and, for the last point of
+    a segment, from a summary of one row a segment, so an aircraft with a third of the points is spread. Then every (instant, aircraft) meets exactly one such span: an equi-join on time
+    slots with the exact test, busy slots cut into grids, and nothing to aggregate afterwards.
+    """
     payload = [c for c in points.columns if c != "hex"]
-    best = F.max_by(F.struct(*payload), F.struct("t", "lat", "lon"))
-    return pairs.groupBy("at", "hex").agg(best.alias("_p")).select("at", "hex", *[F.col(f"_p.{c}").alias(c) for c in payload])
+    once = points.groupBy("hex", "t").agg(F.max(F.struct(*[c for c in ("lat", "lon") if c in payload], *[c for c in payload if c not in ("lat", "lon")])).alias("_p"))
+    once = once.withColumn("_seg", F.floor(F.col("t") / (max_age_s * 64)))
+    firsts = once.groupBy("hex", "_seg").agg(F.min("t").alias("_first"))
+    follows = firsts.select("hex", "_seg", F.lead("_first").over(Window.partitionBy("hex").orderBy("_seg")).alias("_next_seg"))
+    spans = once.withColumn("_next", F.lead("t").over(Window.partitionBy("hex", "_seg").orderBy("t"))).join(follows, ["hex", "_seg"])
+    spans = spans.withColumn("_next", F.coalesce("_next", "_next_seg"))
+    slots = F.sequence(F.floor(F.col("t") / max_age_s), F.floor(F.least("_next", F.col("t") + max_age_s) / max_age_s))
+    build = spans.withColumn("_slot", F.explode(slots))
+    probe = instants.select("at").distinct().withColumn("_slot", F.floor(F.col("at") / max_age_s))
+    within = (F.col("t") <= F.col("at")) & (F.col("at") <= F.col("t") + max_age_s) & (F.col("_next").isNull() | (F.col("at") < F.col("_next")))
+    met = balanced_join(probe, build, ["_slot"], within, build_id=F.xxhash64("hex", "t"), work=work)
+    return met.select("at", "hex", *[F.col("_p." + c if c != "t" else "t").alias(c) for c in payload])
 
 
 def nearest_scene(detections: DataFrame, instants: DataFrame, max_age_h: float = 72.0) -> DataFrame:
@@ -259,7 +270,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     ranked = parts.join(frequency, "token", "left").groupBy("phrase").agg(
         F.min_by("token", F.struct(F.coalesce("_df", F.lit(0)), "token")).alias("token"))
     single = F.instr("phrase", " ") == 0
-    maybe = words.join(ranked, "token").select("rid", "phrase")
+    # a phrase that is one frequent word brings all texts that hold it to one key
+    maybe = balanced_join(words, ranked, ["token"], probe_id=F.xxhash64("rid")).select("rid", "phrase")
     sure = maybe.filter(single)
     check = maybe.filter(~single).join(texts.select("rid", "text_norm"), "rid")
     checked = check.filter(F.expr("instr(text_norm, concat(' ', phrase, ' ')) > 0")).select("rid", "phrase")

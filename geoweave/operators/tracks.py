@@ -13,20 +13,26 @@ SEGMENT_S = 6 * 3600.0
 BIN_S = 900.0
 
 
-def tails(points: DataFrame, t_from: float | None = None, t_to: float | None = None, present: DataFrame | None = None,
-          at_least: int = 2) -> DataFrame:
+def _in_span(points: DataFrame, t_from: float, t_to: float, present: DataFrame | None) -> DataFrame:
+    p = points.filter(F.col("t").between(float(t_from), float(t_to)))
+    return p if present is None else p.join(present.select("hex").distinct(), "hex", "left_semi")
+
+
+def tail_ends(points: DataFrame, t_from: float, t_to: float, present: DataFrame | None = None, at_least: int = 2) -> DataFrame:
+    """(hex, callsign, military, t, lat, lon, n_points): the last position of each aircraft in the span and how many timestamps it has, by aggregates with a partial step; no path is collected."""
+    once = _in_span(points, t_from, t_to, present).groupBy("hex", "t").agg(F.max(F.struct("lat", "lon", "flight", "military")).alias("_p"))
+    ends = once.groupBy("hex").agg(F.max_by(F.struct("t", "_p"), "t").alias("_e"), F.count(F.lit(1)).alias("n_points")).filter(F.col("n_points") >= at_least)
+    return ends.select("hex", F.col("_e._p.flight").alias("callsign"), F.col("_e._p.military").alias("military"), "_e.t", "_e._p.lat", "_e._p.lon", "n_points")
+
+
+def tails(points: DataFrame, t_from: float, t_to: float, present: DataFrame | None = None, at_least: int = 2, ends: DataFrame | None = None) -> DataFrame:
     """Path per aircraft over a short span: one position per timestamp, in time order, at least two of them.
 
-    A path is bounded by the distinct timestamps in the span, so collecting it into one value is safe. `present` limits
-    the result to aircraft seen now.
+    A path holds the distinct timestamps of the span, so the span bounds it. `present` limits the result to aircraft seen now, `ends` to those whose `tail_ends` are wanted, such as
+    the ones in view: then only their positions are collected.
     """
-    p = points
-    if t_from is not None:
-        p = p.filter(F.col("t") >= float(t_from))
-    if t_to is not None:
-        p = p.filter(F.col("t") <= float(t_to))
-    if present is not None:
-        p = p.join(present.select("hex").distinct(), "hex", "left_semi")
+    p = _in_span(points, t_from, t_to, present)
+    p = p if ends is None else p.join(ends.select("hex"), "hex", "left_semi")
     once = p.groupBy("hex", "t").agg(F.max(F.struct("lat", "lon", "flight", "military")).alias("_p"))
     path = F.array_sort(F.collect_list(F.struct("t", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"))))
     last = F.max_by("_p", "t")

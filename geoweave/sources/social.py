@@ -112,6 +112,11 @@ def lenient_posts(posts: DataFrame) -> DataFrame:
     return posts.withColumn("platform", F.coalesce(stated, infer_platform(F.col("id"), F.col("url"))))
 
 
-def merge_post_files(parts: list[DataFrame]) -> DataFrame:
-    """Several files in precedence order, first row per id kept, then only geolocated ones."""
-    return union_first(parts).filter(F.col("lat").isNotNull())
+def placed_posts(posts: DataFrame) -> DataFrame:
+    """Posts read from files with `place`: file, split and row in it, so that "first" means first in the file."""
+    return posts.withColumn("place", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+
+
+def merge_post_files(parts: list[DataFrame], position: str | None = None) -> DataFrame:
+    """Several files in precedence order, first row per id kept, then only geolocated ones. Inside a file the first is the one with the least `position` (see `placed_posts`)."""
+    return union_first(parts, position=position).filter(F.col("lat").isNotNull())

@@ -123,3 +123,27 @@ def test_alerts_ignore_curated_rows(spark):
     assert row.reason == "military aircraft; low altitude 5000 ft; conflict-coded event (Fight); Goldstein -8.0"
     seed = spark.createDataFrame([("imo:1", "1")], "id string, imo string")
     assert leaked(found, curated_ids(seed, seed, seed)).count() == 0
+
+
+def test_asof_at_many_instants_with_a_frequent_aircraft(spark):
+    rng = random.Random(12)
+    rows = [("hot" if rng.random() < 0.6 else f"h{rng.randrange(6)}", float(rng.randrange(0, 60000, 7)), 1.0 + rng.randrange(5), 2.0, i) for i in range(600)]
+    at = sorted({float(rng.randrange(0, 61000, 10)) for _ in range(150)})
+    points = spark.createDataFrame(rows, "hex string, t double, lat double, lon double, n int")
+    instants = spark.createDataFrame([(a,) for a in at], "at double")
+    want = {}
+    for a in at:
+        for h, t, lat, lon, n in rows:
+            if a - 300 <= t <= a:
+                want[a, h] = max(want.get((a, h), (-1.0,)), (t, lat, lon, n))
+    for work in (joins.BLOCK_WORK, 20):
+        got = joins.asof_snapshots(points, instants, work=work).collect()
+        assert {(r.at, r.hex): (r.t, r.lat, r.lon, r.n) for r in got} == want and len(got) == len(want)
+
+
+def test_first_post_of_a_file_is_the_first_line(spark, tmp_path):
+    from geoweave.sources.social import merge_post_files, placed_posts
+    for name, rows in {"a": [("p1", "z"), ("p1", "a"), ("p2", "m")], "b": [("p2", "b"), ("p3", "y"), ("p3", "x")]}.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(f'{{"id": "{i}", "text": "{t}", "lat": 1.0}}' for i, t in rows))
+    parts = [placed_posts(spark.read.schema("id string, text string, lat double").json(str(tmp_path / f"{n}.json"))) for n in "ab"]
+    assert {r.id: r.text for r in merge_post_files(parts, "place").collect()} == {"p1": "z", "p2": "m", "p3": "y"}
