@@ -68,14 +68,15 @@ def with_copies(df: DataFrame, count: str, block: int = 1 << 14) -> DataFrame:
     return df.withColumn("copy", F.explode(copies)).drop("copy_block", count)
 
 
-def spans_of(text: Column, pattern: str, kind: str, guard: Column | None = None) -> Column:
+def spans_of(text: Column, pattern: str | Column, kind: str, guard: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, kind, value>>, in code points, end exclusive.
 
     Splitting by the same pattern gives the gaps between the matches, so running lengths are the offsets. `guard` is a cheap test that is true
     for every text with a match; other texts skip the pattern.
     """
     kind_of = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
 
     def step(acc, pair):
@@ -85,7 +86,7 @@ def spans_of(text: Column, pattern: str, kind: str, guard: Column | None = None)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(pair["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind_of).alias("out")), step, lambda acc: acc["out"])
-    present = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
+    present = F.rlike(text, pattern) if guard is None else guard & F.rlike(text, pattern)
     return F.when(present, found).otherwise(F.array().cast(kind_of))
 
 

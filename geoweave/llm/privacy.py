@@ -49,18 +49,29 @@ def _entity() -> Column:
     return F.xxhash64(F.col("s.kind"), name)
 
 
+def term_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def disclosing_places(found: DataFrame, told: DataFrame) -> DataFrame:
-    """(key, start, end, kind): every place of a term that discloses an entity of the same text, however far from it; found(key, text, base), told(entity, term, kind)."""
+    """(key, terms): every place of a term that discloses an entity of the same text, as array<struct<start, end, kind>>; found(key, text, base), told(entity, term, kind).
+
+    A text is searched once, for the words of its own that are told of; words are letters and digits only, so they are a pattern as they stand.
+    """
     here = found.select("key", F.explode("base").alias("s")).select("key", _entity().alias("entity")).distinct()
-    wanted = cut_lineage(here.join(told, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind")))
-    words = F.transform(spans_of(F.col("text"), TERM, "term"), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.xxhash64(F.lower(s["value"])).alias("term")))
-    places = found.join(wanted.select("key").distinct(), "key", "left_semi").select("key", F.explode(words).alias("t")).select("key", "t.*")
-    return places.join(wanted, ["key", "term"]).select("key", "start", "end", "kind")
+    wanted = here.join(told, "entity").groupBy("key", "term").agg(F.max("kind").alias("kind")).groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("wanted"))
+    held = found.join(cut_lineage(wanted), "key").withColumn("hashes", F.col("wanted.term"))
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), lambda w: F.array_contains("hashes", term_hash(w)))
+    held = filtered(held.withColumn("words", words), F.size("words") > 0, [F.col(c) for c in ("key", "text", "wanted", "hashes", "words")])
+    held = held.withColumn("pattern", F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join("words", "|"), F.lit(")(?![\\p{L}\\p{N}])")))
+    kind = lambda s: F.get("wanted", (F.array_position("hashes", term_hash(s["value"])) - 1).cast("int"))["kind"]
+    terms = F.transform(spans_of(F.col("text"), F.col("pattern"), "term", F.lit(True)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
+    return held.select("key", terms.alias("terms"))
 
 
 def text_terms(texts: DataFrame) -> DataFrame:
     """(h, term) of (h, text): the distinct terms of each text, as hashes of their lower-case forms."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), term_hash))
     return texts.select("h", F.explode_outer(words).alias("term")).filter("term is not null")
 
 
@@ -101,8 +112,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, dis
     told = cut_lineage(disclosures(found.dropDuplicates(["h"]), once, generalise, remove, discount))
     terms = disclosing_places(found.dropDuplicates(["key"]), told)
     none = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
-    listed = terms.groupBy("key").agg(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind")).alias("terms"))
-    spans = found.dropDuplicates(["key"]).join(listed, "key", "left").withColumn("more", F.transform(F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda t: F.struct(
+    spans = found.dropDuplicates(["key"]).join(terms, "key", "left").withColumn("more", F.transform(F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")), lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["kind"].alias("kind"), F.substring("text", t["start"].cast("int") + 1, (t["end"] - t["start"]).cast("int")).alias("value"))))
     free = F.filter("more", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     spans = cut_lineage(spans.select("key", "base", F.concat("base", free).alias("spans")))
