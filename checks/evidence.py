@@ -58,11 +58,11 @@ FACTS = f"""reports as (select id, t, lat, lon, geo_type, concat('article:', reg
     solid as (select x.id as l_id, y.id as r_id, x.t as l_t, y.t as r_t, x.kind as l_kind, y.kind as r_kind, {km('x.lat', 'x.lon', 'y.lat', 'y.lon')} as d, abs(x.t - y.t) / 60e0 as m,
             case when x.kind = 'adsb' and y.kind = 'ais' then 60e0 else 180e0 end as w from assets x join assets y
             on ((x.kind in ('adsb', 'ais') and y.kind = 'firms' and abs(x.t - y.t) <= 180 * 60e0) or (x.kind = 'adsb' and y.kind = 'ais' and abs(x.t - y.t) <= 60 * 60e0)) where x.worthy and y.worthy),
-    pairs as (select l_id, r_id, l_t, r_t, l_kind, r_kind, l_src, r_src, d, m, r, w, case when n_strong > 0 then 'identifier' when n_ids > 0 then 'name' when on_topic then 'topic' else 'proximity' end as tier
+    pairs as (select l_id, r_id, l_t, r_t, l_kind, r_kind, l_src, r_src, d, m, r, w, case when n_strong > 0 then 'identifier' when n_ids > 0 then 'name' when on_topic then 'topic' else 'proximity' end as tier, n_ids as ov
             from mixed where n_ids > 0 or (d <= r and worthy and (on_topic or geo_type not in (1, 2, 5)))
-        union all select l_id, r_id, l_t, r_t, 'gdelt', 'gdelt', l_src, r_src, d, m, 100e0, 720e0, case when len(shared) > 0 then 'entity' else 'topic' end from news
+        union all select l_id, r_id, l_t, r_t, 'gdelt', 'gdelt', l_src, r_src, d, m, 100e0, 720e0, case when len(shared) > 0 then 'entity' else 'topic' end, case when len(shared) > 0 then len(shared) else len(actors) end from news
             where d <= 100 and (len(shared) > 0 or (n_topics > 0 and len(actors) > 0))
-        union all select l_id, r_id, l_t, r_t, l_kind, r_kind, concat(l_kind, ':', l_id), concat(r_kind, ':', r_id), d, m, 30e0, w, 'proximity' from solid where d <= 30),
+        union all select l_id, r_id, l_t, r_t, l_kind, r_kind, concat(l_kind, ':', l_id), concat(r_kind, ':', r_id), d, m, 30e0, w, 'proximity', 0 from solid where d <= 30),
     rated as (select *, greatest(0e0, 1 - d / r) as sp, greatest(0e0, 1 - m / w) as tm, case tier when 'identifier' then 0.92e0 when 'name' then 0.82e0 when 'entity' then 0.68e0 when 'topic' then 0.5e0 else 0e0 end as base from pairs),
     scored as (select *, {rnd('case when base > 0 then base + 0.03e0 * sp + 0.03e0 * tm else 0.22e0 * sp + 0.17e0 * tm end', 3)} as score,
         concat(least(l_src, r_src), '|', greatest(l_src, r_src)) as coverage_key from rated)"""
@@ -99,12 +99,20 @@ def _flagged(v):
     return cand.with_hot_flag(cand.best_candidates(candidates_of(v)), dense)
 
 
-@query("w08_review_batch", VIEWS)
+_ORDERED = "hot desc, score desc, coverage_key"
+
+
+@query("w08_review_batch", VIEWS, f"""with {FACTS}, {BEST}, {_HOT}, top as (select * from best), {_FLAG},
+    turned as (select *, case tier when 'identifier' then 0 when 'name' then 1 when 'entity' then 2 when 'topic' then 3 else 4 end as level,
+        row_number() over (partition by tier, least(l_kind, r_kind), greatest(l_kind, r_kind) order by {_ORDERED}) as turn from flagged),
+    spotted as (select *, row_number() over (partition by level order by turn, {_ORDERED}) as spot from turned where turn <= 12)
+    select coverage_key, tier as match_type, score, cast(turn as int) as turn from spotted where tier <> 'proximity' or spot <= 2 order by level, spot limit 12""")
 def _(v):
     return cand.select_batch(_flagged(v)).select("coverage_key", "match_type", "score", "turn")
 
 
-@query("w09_adjudication_order", VIEWS)
+@query("w09_adjudication_order", VIEWS, f"""with {FACTS}, {BEST}, {_HOT}, top as (select * from best), {_FLAG}
+    select coverage_key, tier as match_type, score from flagged order by hot desc, ov desc, (l_kind = 'gdelt' and r_kind = 'gdelt') desc, score desc, coverage_key limit 12""")
 def _(v):
     return cand.adjudication_order(_flagged(v)).select("coverage_key", "match_type", "score")
 
