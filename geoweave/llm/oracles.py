@@ -109,3 +109,43 @@ c AS (
   SELECT page_id, url, array_to_string(list_filter(list_transform(lines, lambda l: trim(regexp_replace(
     regexp_replace(replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp$', '&'), '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c"""
+
+
+def _tree(name: str, base: str, levels: int) -> str:
+    """CTEs {name}0.. of the nodes (tree, i, d, n) of every level above `base`, and {name}s0.. with what stands left and right of each node in its run of three."""
+    out = [f"{name}0 AS MATERIALIZED ({base})"]
+    for k in range(levels):
+        out.append(f"""{name}s{k} AS MATERIALIZED (SELECT a.tree, a.i, a.n, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 3 = b.i // 3 GROUP BY a.tree, a.i, a.n)""")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 3 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (any_value(n) + 2) // 3 AS n FROM {name}{k} GROUP BY tree, i // 3)")
+    return ",\n".join(out)
+
+
+def _folds(name: str, tree: str, base: str, levels: int) -> str:
+    """CTEs {name}0.. that carry (rid, tree, i, f, proof, tag) up the levels of a tree: the folded digest and the siblings passed."""
+    out = [f"{name}0 AS MATERIALIZED ({base})"]
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT x.rid, x.tree, x.i // 3 AS i, CASE WHEN s.n = 1 THEN x.f ELSE sha256(s.l || x.f || s.r) END AS f, x.proof || s.l || s.r AS proof
+  FROM {name}{k} x JOIN {tree}s{k} s ON s.tree = x.tree AND s.i = x.i)""")
+    return ",\n".join(out)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {text})"
+#: Levels written out: trees of up to 3**_UP rows a source and 3**_UP_FOREST sources.
+_UP, _UP_FOREST = 11, 6
+_CUT = f"CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || source, '') AS tree, {_LEAF.format(text=_field('text'))} AS leaf, {_LEAF.format(text=_field(_CUT))} AS shown FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM docs),
+{_tree('t', 'SELECT tree, i, leaf AS d, n FROM placed', _UP)},
+{_tree('w', f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, d, count(*) OVER () AS n, tree AS source FROM t{_UP}", _UP_FOREST)},
+{_folds('f', 't', "SELECT rid, tree, i, shown AS f, '' AS proof FROM placed", _UP)},
+{_folds('g', 'w', f"SELECT f.rid, '' AS tree, w.i, f.f, f.proof FROM f{_UP} f JOIN w0 w ON w.source = f.tree", _UP_FOREST)}
+SELECT p.doc_id, p.leaf, t.d AS subroot, w.d AS root, sha256(g.proof) AS proof_sha256, g.f AS folded_root, g.f = w.d AS verified
+FROM placed p JOIN t{_UP} t ON t.tree = p.tree JOIN g{_UP_FOREST} g ON g.rid = p.rid, w{_UP_FOREST} w"""
