@@ -80,3 +80,13 @@ def test_batches_alternate_between_kinds(spark):
     for kind in kinds:
         scores = [r.score for r in topic if r.r_kind == kind]
         assert scores == sorted((r[4] for r in rows if r[2] == kind and r[3] == "topic"), reverse=True)[:len(scores)]
+
+
+def test_best_pairs_are_aggregated_by_numbers_without_sorting_pairs(spark):
+    rows = [{"id": f"r{i}", "kind": "gdelt", "geo_type": 4, "url": f"https://daily.example/{i}", "persons": ["Ilse Varga"]} for i in range(4)] + [{"id": "s", "kind": "ais", "name": "POLAR WIND"}]
+    records = cand.retrieval_table(table(spark, rows))
+    best = cand._ranked(cand.candidate_pairs(records), records).select("l_n", "r_n", "score", "match_type", "n_overlap")
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_source_key" not in plan.split("Aggregate")[1]
+    kept = {tuple(sorted((r.l_n, r.r_n))) for r in best.collect()}
+    assert len(kept) == 10
