@@ -156,3 +156,18 @@ def test_turns_in_one_crowded_group(spark):
     got = dict(map(tuple, first_come(spark.createDataFrame([(a, x, (x * 37) % 100) for a, x in offers], "taker int, taken int, rank int")).collect()))
     want = by_turns(range(120), sorted(range(100), key=lambda x: (x * 37) % 100), lambda a, x: (a, x) in set(offers))
     assert got == want and len(got) > 80
+
+
+def test_series_read_the_events_once_and_are_spread(spark):
+    rows = seeded_news(5, [(41, 12), (41, 13), (-7, 100)], {})
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(t):
+        read.add(1)
+        return t
+
+    events = spark.createDataFrame(rows, NEWS).withColumn("t", counted.asNondeterministic()("t"))
+    series = Analysis(SPAN, events, spark.createDataFrame([], TRACKS), spark.createDataFrame([], HEAT)).series
+    assert read.value == len(rows)
+    assert len(series.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
