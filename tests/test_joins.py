@@ -147,3 +147,17 @@ def test_first_post_of_a_file_is_the_first_line(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text("\n".join(f'{{"id": "{i}", "text": "{t}", "lat": 1.0}}' for i, t in rows))
     parts = [placed_posts(spark.read.schema("id string, text string, lat double").json(str(tmp_path / f"{n}.json"))) for n in "ab"]
     assert {r.id: r.text for r in merge_post_files(parts, "place").collect()} == {"p1": "z", "p2": "m", "p3": "y"}
+
+
+def test_phrases_meet_texts_without_shuffling_them(spark):
+    rng = random.Random(21)
+    words = ["gulf", "of", "oman", "the", "ship", "émir"]
+    texts = [(i, " " + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) + " ") for i in range(60)] + [(60, None)]
+    phrases = ["the", "gulf of oman", "of the", "émir", "oman oman", "nowhere", "the nowhere", " "]
+    df = spark.createDataFrame(texts, "rid int, text_norm string").withColumn("tokens", F.array_distinct(F.filter(F.split("text_norm", " "), lambda w: w != "")))
+    table = spark.createDataFrame([(p,) for p in phrases * 2], "phrase string")
+    want = sorted((i, p) for i, t in texts if t for p in phrases if p.strip() and f" {p} " in t)
+    small, large = joins.phrase_hits(df, table), joins.phrase_hits(df, table, broadcast_bytes=0)
+    assert sorted(map(tuple, small.collect())) == want == sorted(map(tuple, large.collect()))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rid" not in plan and "BroadcastHashJoin [token" in plan
