@@ -161,3 +161,24 @@ def test_phrases_meet_texts_without_shuffling_them(spark):
     assert sorted(map(tuple, small.collect())) == want == sorted(map(tuple, large.collect()))
     plan = small._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(rid" not in plan and "BroadcastHashJoin [token" in plan
+
+
+def test_batches_are_found_in_chunks(spark, monkeypatch):
+    rng = random.Random(31)
+    sizes = {"mixed": [rng.choice([0, 3, 9, 20, 47, 48, 90]) for _ in range(130)], "still": [0] * 40 + [60] + [0] * 25, "single": [50], "own": [51] * 28, "full": [25] * 14}
+    rows = [(r, "k", f"{i:04d}", n) for r, ns in sizes.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "region_id string, kind string, id string, n int")
+    want = {}
+    for region, ns in sizes.items():
+        batch, used, held = 0, 0, 0
+        for i, n in enumerate(ns):
+            batch, used, held = (batch + 1, n, 1) if held and used + n > 50 else (batch, used + n, held + 1)
+            want[region, f"{i:04d}"] = batch
+    for chunk in (7, 4096):
+        got = aoi.size_batches(df, 50, F.col("n"), chunk=chunk).collect()
+        assert {(r.region_id, r.id): r.batch for r in got} == want and len(got) == len(rows)
+    # a table is written for every round: none are needed for the batches of one chunk
+    written, real = [], aoi.cut_lineage
+    monkeypatch.setattr(aoi, "cut_lineage", lambda t: written.append(1) or real(t))
+    aoi.size_batches(df, 50, F.col("n"))
+    assert len(written) <= 7
