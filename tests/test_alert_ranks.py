@@ -42,3 +42,22 @@ def test_alerts_are_aggregated_without_sorting_pairs(spark):
 def test_no_events_give_no_alerts(spark):
     events, points = _feeds(spark)
     assert proximity.alerts(events.filter("false"), points).count() == 0 == proximity.alerts(events, points.filter("false")).count()
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_cut_blocks_give_one_row_per_place_and_aircraft(spark, exact):
+    events, points = _feeds(spark)
+    want = sorted(map(tuple, proximity.alerts(events, points, 75.0, 60.0, exact=exact).collect()))
+    best = proximity.BestAlerts(events, points, 75.0, 60.0, exact=exact, work=200)
+    assert sorted(map(tuple, best.shown(best.ranked).collect())) == want
+    pairs = best._pairs(best.places).withColumn("task", F.spark_partition_id())
+    fields = pairs.groupBy("aircraft_id", "_lat1", "_lon1", "r_t", "r_lat", "r_lon").agg(F.count_distinct("task").alias("n"))
+    assert fields.agg(F.max("n")).first()[0] == 1
+
+
+def test_alerts_of_one_event_need_its_place_only(spark):
+    events, points = _feeds(spark)
+    best = proximity.BestAlerts(events, points, 75.0, 60.0)
+    rows = [tuple(r) for r in best.ranked.collect()]
+    e = max({r[2] for r in rows}, key=[r[2] for r in rows].count)
+    assert sorted(tuple(r) for r in best.of_event(e).collect()) == sorted(r for r in rows if r[2] == e)
