@@ -84,3 +84,20 @@ def test_seen_memory_over_batches(spark, tmp_path):
         rows = [(i, 1.7e9 + 3600.0 * x) for i, x in hours if h <= x < h + 6]
         memory.apply(spark.createDataFrame(rows, "id string, t double"), min(k, 19))
     assert sorted((r.id, (r.t - 1.7e9) / 3600) for r in memory.read(spark, "id string, t double").collect()) == [("gap", 0.0), ("gap", 42.0), ("steady", 0.0), ("twice", 60.0)]
+
+
+def test_bounded_graph_makes_the_strongest_pairs_only(spark):
+    events, points = _feeds(spark)
+    shared = spark.createDataFrame([("adsb:h0", "adsb:h1")], "a string, b string")
+    base = spark.createDataFrame([("e0", "p", "AT"), ("e3", "p", "AT")], "src string, dst string, kind string")
+    links = proximity.NearLinks(events, points, 75.0, 60.0)
+    every = {(r.src, r.dst, r.score) for r in links.all().collect()}
+    pairs = proximity.near_pairs(events, points, 75.0, 60.0)
+    assert every == {(r.aircraft_id, r.event_id, r.score) for r in pairs.collect()}
+    few, enough = links.strongest(3)
+    few = {(r.src, r.dst, r.score) for r in few.collect()}
+    assert enough and 0 < len(few) < len(every) / 4 and few == {x for x in every if x[2] >= min(f[2] for f in few)}
+    plain = pairs.select(F.col("aircraft_id").alias("src"), F.col("event_id").alias("dst"), "score")
+    for most in (3, 10 ** 4):
+        mine, want = (sorted(map(tuple, graph.bounded_graph(n, shared, base, max_nodes=most, max_links=10 ** 6).collect())) for n in (links, plain))
+        assert mine == want and want
